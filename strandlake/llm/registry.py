@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from strandlake.llm import mixing
+from strandlake.llm.bpe_tree import op8_bpe_tree
 from strandlake.llm.mixing import op10_curriculum_mix
 
 QUERIES = {
+    "op8_bpe_tree": op8_bpe_tree,
     "op10_curriculum_mix": op10_curriculum_mix,
 }
 
