@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from strandlake.llm import mixing
 from strandlake.llm.bpe_tree import op8_bpe_tree
+from strandlake.llm.quality_cnn import op6_quality_cnn
 from strandlake.llm.mixing import op10_curriculum_mix
 
 QUERIES = {
+    "op6_quality_cnn": op6_quality_cnn,
     "op8_bpe_tree": op8_bpe_tree,
     "op10_curriculum_mix": op10_curriculum_mix,
 }
