@@ -5,10 +5,12 @@ from __future__ import annotations
 from strandlake.llm import mixing
 from strandlake.llm.bpe_tree import op8_bpe_tree
 from strandlake.llm.toxicity_fst import op5_toxicity_fst
+from strandlake.llm.language_parse import op3_language_parse
 from strandlake.llm.quality_cnn import op6_quality_cnn
 from strandlake.llm.mixing import op10_curriculum_mix
 
 QUERIES = {
+    "op3_language_parse": op3_language_parse,
     "op5_toxicity_fst": op5_toxicity_fst,
     "op6_quality_cnn": op6_quality_cnn,
     "op8_bpe_tree": op8_bpe_tree,
