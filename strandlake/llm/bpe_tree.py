@@ -42,7 +42,14 @@ LEAF = 8192
 LEAF_BYTES = 512
 LEAF_TOKENS = 4096
 
-_STABLE = re.compile(r"(?<=\S)(?=\s)")
+#: White space as the patterns' engines have it (Unicode White_Space), which Python's \s is not.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_STABLE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+
+
+def engine_pattern(pattern: str) -> str:
+    """The splitting pattern with white space spelled out."""
+    return pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]")
 
 
 class TreeBpe:
@@ -52,7 +59,7 @@ class TreeBpe:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(pattern)
+        self.split = regex.compile(engine_pattern(pattern))
         self.leaf, self.leaf_bytes = leaf, leaf_bytes
 
     # text level

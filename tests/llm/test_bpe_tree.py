@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from strandlake.llm.bpe_tree import TreeBpe, encode_column, round_trip
 
 TREE = TreeBpe(leaf=16, leaf_bytes=8)
-MIXED = st.text(alphabet=st.sampled_from(list("abethn 's\n\t  é1!_ß中😀")), max_size=300)
+MIXED = st.text(alphabet=st.sampled_from(list("abethn 's\n\t  é1!_ß中😀\x1c\x85\u200b\u2003")), max_size=300)
 
 
 @settings(max_examples=200, deadline=None)
