@@ -7,10 +7,12 @@ from strandlake.llm.bpe_tree import op8_bpe_tree
 from strandlake.llm.toxicity_fst import op5_toxicity_fst
 from strandlake.llm.language_parse import op3_language_parse
 from strandlake.llm.token_counts import op7_token_counts
+from strandlake.llm.media_chunks import op2_media_chunks
 from strandlake.llm.quality_cnn import op6_quality_cnn
 from strandlake.llm.mixing import op10_curriculum_mix
 
 QUERIES = {
+    "op2_media_chunks": op2_media_chunks,
     "op7_token_counts": op7_token_counts,
     "op3_language_parse": op3_language_parse,
     "op5_toxicity_fst": op5_toxicity_fst,
