@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from strandlake.llm import mixing
+from strandlake.llm import jaccard_join, mixing
 from strandlake.llm.bpe_tree import op8_bpe_tree
 from strandlake.llm.toxicity_fst import op5_toxicity_fst
 from strandlake.llm.language_parse import op3_language_parse
 from strandlake.llm.token_counts import op7_token_counts
 from strandlake.llm.media_chunks import op2_media_chunks
+from strandlake.llm.jaccard_join import op4_jaccard_join
 from strandlake.llm.quality_cnn import op6_quality_cnn
 from strandlake.llm.mixing import op10_curriculum_mix
 
 QUERIES = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op2_media_chunks": op2_media_chunks,
     "op7_token_counts": op7_token_counts,
     "op3_language_parse": op3_language_parse,
@@ -22,5 +24,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_jaccard_join": jaccard_join.ORACLE,
     "op10_curriculum_mix": mixing.ORACLE,
 }
