@@ -128,7 +128,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _byte_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, n_bytes, data) of every payload, compressed."""
+    """(doc_id, key, data) of every payload; data: its length without padding, and the payload, compressed."""
     press = zstandard.ZstdCompressor(level=3)
     for batch in sized_batches(batches, "text", 4 << 20):
         texts = texts_of(batch)
@@ -137,10 +137,9 @@ def _byte_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column("doc_id"),
                 pa.array([hashlib.sha256(p).digest()[:8] for p in payloads], pa.binary()),
-                pa.array([len(t.encode()) for t in texts], pa.int64()),
-                pa.array([press.compress(p) for p in payloads], pa.binary()),
+                pa.array([struct.pack(">q", len(t.encode())) + press.compress(p) for t, p in zip(texts, payloads, strict=True)], pa.binary()),
             ],
-            ["doc_id", "key", "n_bytes", "data"],
+            ["doc_id", "key", "data"],
         )
 
 
@@ -154,16 +153,17 @@ def _store_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps of each payload the chunks it owns and the ordered list of digests; `fetched` passes through."""
     press, read = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     for batch in _pieces(batches):
-        sizes, own, digests = [], [], []
+        n_bytes, sizes, own, digests = [], [], [], []
         for data, fetched in zip(batch.column("data").to_pylist(), batch.column("fetched").to_pylist(), strict=True):
-            data = read.decompress(data)
+            n_bytes.append(struct.unpack(">q", data[:8])[0])
+            data = read.decompress(data[8:])
             foreign = {c["place"] for c in fetched or []}
             chunks = split(data, chunk_ends([data])[0])
             sizes.append(np.array([0 if i in foreign else len(c) for i, c in enumerate(chunks)], dtype=np.int32).tobytes())
             own.append(press.compress(b"".join(c for i, c in enumerate(chunks) if i not in foreign)))
             digests.append(b"".join(hashlib.sha256(c).digest() for c in chunks))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "n_bytes", "fetched")), *(pa.array(x, pa.binary()) for x in (sizes, own, digests))],
+            [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), batch.column("fetched"), *(pa.array(x, pa.binary()) for x in (sizes, own, digests))],
             ["doc_id", "n_bytes", "fetched", "sizes", "own", "digests"],
         )
 
@@ -180,7 +180,7 @@ def _lent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _pieces(batches):
         cols: tuple[list, ...] = ([], [], [], [])
         for r in batch.to_pylist():
-            data = read.decompress(r["data"])
+            data = read.decompress(r["data"][8:])
             chunks = split(data, chunk_ends([data])[0])
             for place in r["places"]:
                 for col, v in zip(cols, (r["doc_id"], r["key"], place, press.compress(chunks[place])), strict=True):
@@ -251,7 +251,8 @@ def foreign_chunks(docs: DataFrame) -> DataFrame:
 
 
 def payload_rows(docs: DataFrame) -> DataFrame:
-    return _narrow(docs).mapInArrow(_byte_rows, "doc_id bigint, key binary, n_bytes bigint, data binary")
+    """Both joins use all three columns, and none can be null: so they read one and the same exchange."""
+    return _narrow(docs).mapInArrow(_byte_rows, "doc_id bigint NOT NULL, key binary NOT NULL, data binary NOT NULL")
 
 
 def fetched_chunks(payloads: DataFrame, foreign: DataFrame) -> DataFrame:
@@ -265,7 +266,7 @@ def fetched_chunks(payloads: DataFrame, foreign: DataFrame) -> DataFrame:
 def store(payloads: DataFrame, fetched: DataFrame) -> DataFrame:
     """One stored row per document: its own chunks, its ordered digests, and what it borrows."""
     kept = "doc_id bigint, n_bytes bigint, fetched array<struct<place int, chunk binary>>, sizes binary, own binary, digests binary"
-    return payloads.join(fetched, ["doc_id", "key"], "left").select("doc_id", "n_bytes", "data", "fetched").mapInArrow(_store_rows, kept)
+    return payloads.join(fetched, ["doc_id", "key"], "left").select("doc_id", "data", "fetched").mapInArrow(_store_rows, kept)
 
 
 def read_back(stored: DataFrame) -> DataFrame:
