@@ -10,10 +10,12 @@ from strandlake.llm.token_counts import op7_token_counts
 from strandlake.llm.media_chunks import op2_media_chunks
 from strandlake.llm.jaccard_join import op4_jaccard_join
 from strandlake.llm.multi_index import op1_multi_index
+from strandlake.llm.url_templates import op9_url_templates
 from strandlake.llm.quality_cnn import op6_quality_cnn
 from strandlake.llm.mixing import op10_curriculum_mix
 
 QUERIES = {
+    "op9_url_templates": op9_url_templates,
     "op1_multi_index": op1_multi_index,
     "op4_jaccard_join": op4_jaccard_join,
     "op2_media_chunks": op2_media_chunks,
