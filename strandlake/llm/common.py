@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,10 +79,9 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def sized_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about `most` bytes of the column: bounds the kernels' memory."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(column))
         if batch.num_rows == 0:
             continue
-        sizes = np.array([len(x) if x is not None else 0 for x in col.to_pylist()], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = (np.cumsum(sizes) - sizes) // most
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):

@@ -10,8 +10,8 @@ A document is its set of distinct n-word shingles, as 64-bit hashes. Two documen
    shingles that two classes share are kept. Postings meet by shingle and size band: two sizes that pass the
    length filter lie in the same or in neighbouring bands.
 3. Pairs of a bucket that pass the length and positional filters become candidates, and each candidate
-   pair is verified once, against whole texts: a suffix filter (the shingles' hash ranges, halved a few
-   times, bound the overlap), then the intersection. A group of copies would give all its pairs, so
+   pair is verified once, against whole texts: suffix filters (counts by hash range, then the sets halved a
+   few times, bound the overlap), then the intersection. A group of copies would give all its pairs, so
    buckets proceed in rounds: a round pairs some leaders of every bucket (1, then 8, 64, ...) with its
    members, except pairs that are verified already or connected already by links found before. A bucket is
    done once it has no more members than the round has leaders, or all are connected. No pair that could
@@ -42,43 +42,57 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import cut, mix64, shingle_sets, sized_batches, spill_table, texts_of
 from strandlake.llm.graph import components
 
-TABLE_BITS = 18
+TABLE_BITS = 24
 #: The counters travel in this many parts.
 PARTS = 64
 FILTER_BITS = 23
-LEADERS = 8
+LEADERS = 16
 SUFFIX_DEPTH = 4
+#: Hash ranges whose shingle counts bound two sets' overlap before their texts are fetched.
+RANGE_BITS = 5
+#: Bytes of text whose shingles are made at a time.
+BLOCK = 1 << 20
 
 
-def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """Counters by the hash's top bits, over every document's set."""
+def _table_index(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def shingle_rarity(docs: DataFrame, words: int) -> np.ndarray:
+    """How common the shingles of each counter are over every document's set, in half octaves (0 to 63).
+
+    Counters are picked by a shingle's top hash bits: a shingle is at least as rare as its counter says."""
     size = 1 << TABLE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
-        for batch in sized_batches(batches, "text"):
+        total = np.zeros(size, dtype=np.uint32)
+        for batch in sized_batches(batches, "text", BLOCK):
             _, hashes = shingle_sets([t.encode() for t in texts_of(batch)], words)
-            total += np.bincount((hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=size)
+            at, found = np.unique(_table_index(hashes), return_counts=True)
+            total[at] += found.astype(np.uint32)
         press = zstandard.ZstdCompressor(level=1)
-        parts = total.reshape(PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([press.compress(p.tobytes()) for p in parts], pa.binary())], ["part", "data"])
+        for part, counts in enumerate(total.reshape(PARTS, -1)):
+            # bytes of equal weight together: most of the upper ones are 0
+            planes = np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([press.compress(planes)], pa.binary())], ["part", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, sums = zstandard.ZstdDecompressor(), {}
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(read.decompress(data), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "data"])
+                counts = np.ascontiguousarray(np.frombuffer(read.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                sums[part] = sums.get(part, np.zeros(counts.size, np.int64)) + counts
+        for part, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rarity(counts).tobytes()], pa.binary())], ["part", "data"])
 
     summed = docs.select("text").mapInArrow(count, "part int, data binary").repartition("part").mapInArrow(add, "part int, data binary")
-    out = np.zeros((PARTS, size // PARTS), dtype=np.int64)
-    for r in summed.collect():  # PARTS rows, 2^TABLE_BITS counters
-        out[r.part] = np.frombuffer(r.data, np.int64)
+    out = np.zeros((PARTS, size // PARTS), dtype=np.uint8)
+    for r in summed.collect():  # PARTS rows, one byte a counter
+        out[r.part] = np.frombuffer(r.data, np.uint8)
     return out.ravel()
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """Counters on a scale of half octaves, 0 to 63."""
     return np.minimum(63, 2 * np.log2(counts + 1)).astype(np.uint8)
 
 
@@ -86,7 +100,7 @@ def ordered_prefix(hashes: np.ndarray, levels: np.ndarray, percent: int) -> np.n
     """The set's first shingles, rare first, as keys that hold the rarity and most of the hash."""
     n = hashes.size
     p = n - (percent * n + 99) // 100 + 1
-    level = levels[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.uint64)
+    level = levels[_table_index(hashes)].astype(np.uint64)
     keys = (level << np.uint64(58)) | (hashes >> np.uint64(6))
     return np.sort(np.partition(keys, p - 1)[:p])
 
@@ -99,23 +113,27 @@ def class_of(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, c1, c2, prefix) of every row."""
+    """(doc_id, n, c1, c2, prefix, ranges) of every row; ranges: how many shingles each hash range holds."""
+    table = docs.sparkSession.sparkContext.broadcast(levels)  # 2^TABLE_BITS bytes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, "text"):
+        none = np.empty(0, np.int64)
+        for batch in sized_batches(batches, "text", BLOCK):
             bounds, hashes = shingle_sets([t.encode() for t in texts_of(batch)], words)
-            n, c1, c2, prefix = [], [], [], []
+            n, c1, c2, prefix, ranges = [], [], [], [], []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 one = hashes[lo:hi]
                 a, b = class_of(one) if one.size else (0, 0)
                 n.append(one.size)
                 c1.append(a)
                 c2.append(b)
-                prefix.append(ordered_prefix(one, levels, percent).view(np.int64) if one.size else np.empty(0, np.int64))
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "c1", "c2", "prefix"])
+                prefix.append(ordered_prefix(one, table.value, percent).view(np.int64) if one.size else none)
+                ranges.append(np.bincount((one >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS))
+            columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, c1, c2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "c1", "c2", "prefix", "ranges"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id bigint, n bigint, c1 bigint, c2 bigint, prefix array<bigint>")
+    kept = "doc_id bigint, n bigint, c1 bigint, c2 bigint, prefix array<bigint>, ranges array<int>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, kept)
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -130,7 +148,7 @@ def class_texts(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, known = zstandard.ZstdCompressor(level=3), np.unpackbits(member)
-        for batch in sized_batches(batches, "text"):
+        for batch in sized_batches(batches, "text", BLOCK):
             texts = [t.encode() for t in texts_of(batch)]
             bounds, hashes = shingle_sets(texts, words)
             rows: tuple[list, ...] = ([], [], [], [])
@@ -203,6 +221,13 @@ def verified(pairs: DataFrame, bodies: DataFrame, words: int, percent: int) -> D
     return with_both.select("a", "b", "body_a", "body_b").mapInArrow(check, "a bigint, b bigint")
 
 
+def overlapping(pairs: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets can overlap enough, going by how many shingles each has in every hash range."""
+    side = lambda c: ranges.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"))
+    bound = "aggregate(zip_with(r_a, r_b, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(f"{100 + percent} * {bound} >= {percent} * (n_a + n_b)").select("a", "b")
+
+
 def candidates(postings: DataFrame, labels: DataFrame | None, leaders: int, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of this round's leaders and their buckets' members that pass the filters."""
     turn = W.partitionBy("bucket").orderBy(F.xxhash64(F.col("rep"), F.lit(leaders)), "rep") if leaders > 1 else None
@@ -227,7 +252,7 @@ def candidates(postings: DataFrame, labels: DataFrame | None, leaders: int, perc
 
 def similar_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row: rid, doc_id, n_shingles, component_id (the smallest doc_id of its component)."""
-    levels = rarity(shingle_counts(docs, words))
+    levels = shingle_rarity(docs, words)
     signed = spill_table(signatures(docs, levels, words, percent).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     rows = signed.select("rid", "doc_id", "n", "c1", "c2")
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("rid", "doc_id")).alias("first"), F.count("*").alias("members"))
@@ -244,7 +269,10 @@ def similar_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     paired = postings.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     candidate_classes = classes.join(postings.join(paired, "bucket", "left_semi").select("rep").distinct(), "rep", "left_semi")
     bodies = spill_table(class_texts(docs, candidate_classes, words), "bodies")
-    links, labels = _link_rounds(postings, bodies, words, percent)
+    ranges = spill_table(
+        signed.select(F.col("rid").alias("rep"), "n", "ranges").join(candidate_classes.select("rep"), "rep", "left_semi"), "ranges"
+    )
+    links, labels = _link_rounds(postings, bodies, ranges, words, percent)
 
     grouped = rows.where("n > 0").join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
     if labels is not None:
@@ -257,15 +285,15 @@ def similar_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return found.unionByName(alone)
 
 
-def _link_rounds(postings: DataFrame, bodies: DataFrame, words: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+def _link_rounds(postings: DataFrame, bodies: DataFrame, ranges: DataFrame, words: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
     links = tried = labels = None
     leaders, open_buckets = 1, postings
     while True:
         pairs = candidates(open_buckets, labels, leaders, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        new = cut(verified(pairs, bodies, words, percent))
+        pairs = spill_table(pairs, "pairs")
+        new = cut(verified(overlapping(pairs, ranges, percent), bodies, words, percent))
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tried = ordered if tried is None else tried.unionByName(ordered)
         if not new.isEmpty():

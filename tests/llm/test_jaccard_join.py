@@ -100,7 +100,7 @@ def test_several_rounds(spark, monkeypatch):
         for c in range(4):
             rows.append((len(rows), " ".join(common + own + [f"x{draw.randrange(10**6)}"] * (c % 2))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(j, "rarity", lambda counts: np.zeros(counts.size, np.uint8))  # no help from frequencies
+    monkeypatch.setattr(j, "shingle_rarity", lambda docs, words: np.zeros(1 << j.TABLE_BITS, np.uint8))  # no help from frequencies
     got = j.similar_groups(docs, 3, 90).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_force(rows, 3, 90)
 
