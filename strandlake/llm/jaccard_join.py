@@ -112,8 +112,8 @@ def class_of(hashes: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
 
 
-def signatures(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, c1, c2, prefix, ranges) of every row; ranges: how many shingles each hash range holds."""
+def signatures(docs: DataFrame, levels: np.ndarray, words: int, percent: int, rid: str | None = None) -> DataFrame:
+    """(doc_id, n, c1, c2, prefix, ranges, and rid if named) of every row; ranges: how many shingles each hash range holds."""
     table = docs.sparkSession.sparkContext.broadcast(levels)  # 2^TABLE_BITS bytes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +129,13 @@ def signatures(docs: DataFrame, levels: np.ndarray, words: int, percent: int) ->
                 c2.append(b)
                 prefix.append(ordered_prefix(one, table.value, percent).view(np.int64) if one.size else none)
                 ranges.append(np.bincount((one >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS))
-            columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, c1, c2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "c1", "c2", "prefix", "ranges"])
+            columns = [*(pa.array(x, pa.int64()) for x in (n, c1, c2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in given), *columns], [*given, "n", "c1", "c2", "prefix", "ranges"])
 
-    kept = "doc_id bigint, n bigint, c1 bigint, c2 bigint, prefix array<bigint>, ranges array<int>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, kept)
+    given = ["doc_id"] if rid is None else ["doc_id", "rid"]
+    read = [F.col("doc_id").cast("long").alias("doc_id"), *([] if rid is None else [F.col(rid).alias("rid")]), "text"]
+    kept = ", ".join(f"{x} bigint" for x in (*given, "n", "c1", "c2")) + ", prefix array<bigint>, ranges array<int>"
+    return docs.select(*read).mapInArrow(sign, kept)
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -250,10 +252,15 @@ def candidates(postings: DataFrame, labels: DataFrame | None, leaders: int, perc
     return met.select(*pick).distinct()
 
 
-def similar_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: rid, doc_id, n_shingles, component_id (the smallest doc_id of its component)."""
+def similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None = None) -> DataFrame:
+    """Per row: rid, doc_id, n_shingles, component_id (the smallest doc_id of its component), group.
+
+    rid: a column of docs that numbers its rows, to be carried along; by default rows get new numbers."""
     levels = shingle_rarity(docs, words)
-    signed = spill_table(signatures(docs, levels, words, percent).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    signed = signatures(docs, levels, words, percent, rid)
+    if rid is None:
+        signed = signed.withColumn("rid", F.monotonically_increasing_id())
+    signed = spill_table(signed, "signatures")
     rows = signed.select("rid", "doc_id", "n", "c1", "c2")
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("rid", "doc_id")).alias("first"), F.count("*").alias("members"))
     classes = spill_table(classes.select("c1", "c2", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("doc_id")), "classes")
@@ -280,8 +287,8 @@ def similar_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     else:
         grouped = grouped.withColumn("root", F.col("rep"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = grouped.join(least, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    found = grouped.join(least, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("root").alias("group"))
+    alone = rows.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("group"))
     return found.unionByName(alone)
 
 
@@ -316,11 +323,13 @@ def _link_rounds(postings: DataFrame, bodies: DataFrame, ranges: DataFrame, word
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs, with their columns: of each component the row with the smallest id, and every row
-    without words. Of rows with equal ids in one component, the one read first stays."""
-    groups = similar_groups(docs, words, percent)
-    first = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "rid")).alias("x"))
-    return docs.join(first.select(F.col("x.doc_id").alias("doc_id")).unionByName(groups.where("n_shingles = 0").select("doc_id")).distinct(), "doc_id", "left_semi")
+    """Rows of docs, with their columns: of each component the row with the smallest id (nulls last; of equal
+    ids the one read first), and every row without words."""
+    numbered = spill_table(docs.withColumn("_rid", F.monotonically_increasing_id()), "documents")
+    groups = similar_groups(numbered, words, percent, rid="_rid")
+    first = groups.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("x"))
+    kept = first.select(F.col("x.rid").alias("_rid")).unionByName(groups.where("n_shingles = 0").select(F.col("rid").alias("_rid")))
+    return numbered.join(kept, "_rid", "left_semi").select(*docs.columns)
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

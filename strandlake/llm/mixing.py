@@ -33,8 +33,10 @@ BUCKET_BITS = 12
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and the hash bucket that orders documents within a source."""
+def sizes(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """doc_id, source, size (words) and the hash bucket that orders documents within a source.
+
+    whole_rows: with the row itself, as the struct `row`."""
     digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
     turn = F.conv(F.substring(F.coalesce(digest, F.lit("0")), 1, 15), 16, 10).cast("long")
     return docs.select(
@@ -43,6 +45,7 @@ def sizes(docs: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.shiftright(turn, 60 - BUCKET_BITS).cast("int").alias("bucket"),
         turn.alias("turn"),
+        *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole_rows else []),
     )
 
 
@@ -81,10 +84,13 @@ def due_time(share: Column, tilt: Column) -> Column:
     return F.when(share <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * share / (slope + root)))
 
 
-def mix(docs: DataFrame, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken, position (null if nothing is taken)."""
-    sized = sizes(docs)
-    by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+def mix(docs: DataFrame, share: float = SHARE, repeat: int = REPEAT, whole_rows: bool = False) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken, position (null if nothing is taken).
+
+    whole_rows: also the row itself (`row`), and `due` and `tilt`, from which later rounds' positions follow."""
+    sized = sizes(docs, whole_rows)
+    narrow = sizes(docs) if whole_rows else sized
+    by_bucket = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     in_source = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     starts = by_bucket.withColumn("bucket_from", F.sum("bucket_size").over(in_source) - F.col("bucket_size"))
     targets = source_targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), share, repeat)
@@ -118,9 +124,23 @@ def mix(docs: DataFrame, share: float = SHARE, repeat: int = REPEAT) -> DataFram
         "target",
         "taken",
         F.when(F.col("taken") > 0, due_time(share_due, F.col("tilt"))).alias("position"),
+        *(["row", "goal", "tilt", F.col("from")] if whole_rows else []),
     )
 
 
+def mixed_rows(docs: DataFrame, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
+    """The mix itself: rows of docs, with their columns, each as often as it is taken, in training order.
+
+    A round's partial share of a document (at most one document of each source and round has one) counts as
+    the whole document from half of its words on. A document without words is kept once, at the start."""
+    placed = mix(docs, share, repeat, whole_rows=True)
+    copies = F.when(F.col("size") > 0, F.round(F.try_divide("taken", "size"))).otherwise(F.lit(1)).cast("int")
+    each = placed.where(copies > 0).withColumn("round", F.explode(F.sequence(F.lit(0), copies - 1)))
+    due = F.when(F.col("goal") > 0, F.try_divide(F.col("from") + F.col("round") * F.col("source_size"), "goal")).otherwise(F.lit(0.0))
+    timed = each.withColumn("at", due_time(due, F.col("tilt"))).orderBy("at", "doc_id", "round")
+    return timed.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
     """The mix in training order: range-sorted by position, ties by id. Documents not taken go."""
     return mixed.where("taken > 0").orderBy("position", "doc_id")
