@@ -1,10 +1,676 @@
-"""Registry of the delta-log queries and their DuckDB counterparts."""
+"""Delta-log queries over the driver's tables, and what they must give, as DuckDB SQL.
+
+Queries return flat columns: entity ids and properties in long form, or one column per schema property.
+"""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlake.functions import json_ast
+from strandlake.functions.targets import as_text, number, pointer, reference, text
+from strandlake.functions.validation import error_code
+from strandlake.operators import collections, compose, folds, negation, nested, query, resolvers, schemas, transactions
+from strandlake.sources import tables, wire
+from strandlake.sources.store import LogQuery, MemoryStore, statistics
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+# The entities and places that single-entity queries ask for.
+USER, CREATOR, HOST = "user-7", "user-3", "host-1"
+
+
+def query_of(name: str, sql: str | None = None):
+    """Registers a query, and its SQL if there is any."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def plain_claims(log: DataFrame) -> DataFrame:
+    """Claims of a log that is known to hold no negations and transactions."""
+    return compose.claims(log, negations=False, transactions=False)
+
+
+def event_claims(spark: SparkSession, sf_dir: str, time: Column | None = None) -> DataFrame:
+    return plain_claims(tables.event_log(spark, sf_dir, time))
+
+
+def numbers(frame: DataFrame) -> DataFrame:
+    """Long form whose target values are numbers."""
+    return frame.select("entity_id", "property", F.col("value.n").alias("value"))
+
+
+EVENT = "'user-' || user_id AS entity_id, event_type AS property"
+
+
+def latest_sql(order: str) -> str:
+    return f"""SELECT entity_id, property, value FROM (SELECT {EVENT}, value,
+        row_number() OVER (PARTITION BY user_id, event_type ORDER BY {order}) AS nth FROM events) WHERE nth = 1"""
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbers(resolvers.last_write(event_claims(spark, sf_dir)))
+
+
+# Compose and decompose
+
+
+@query_of("compose_property_counts", f"SELECT {EVENT}, count(*) AS n_deltas FROM events GROUP BY ALL")
+def compose_property_counts(spark, sf_dir):
+    return compose.property_counts(event_claims(spark, sf_dir))
+
+
+@query_of(
+    "compose_referenced_as",
+    """SELECT DISTINCT 'order-' || l_orderkey AS entity_id, 'order' AS labels FROM lineitem UNION ALL
+       SELECT DISTINCT 'part-' || l_partkey, 'part' FROM lineitem UNION ALL SELECT DISTINCT 'supplier-' || l_suppkey, 'supplier' FROM lineitem""",
+)
+def compose_referenced_as(spark, sf_dir):
+    found = compose.referenced_as(plain_claims(tables.lineitem_log(spark, sf_dir)))
+    return found.select("entity_id", F.array_join("referenced_as", ",").alias("labels"))
+
+
+@query_of("decompose_roundtrip", "SELECT 'lin-' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS delta_id, epoch_us(l_shipdate) AS time_created, 6 AS n_pointers FROM lineitem")
+def decompose_roundtrip(spark, sf_dir):
+    found = plain_claims(tables.lineitem_log(spark, sf_dir))
+    return compose.decompose(compose.views(found)).select("delta_id", "time_created", F.size("pointers").alias("n_pointers"))
+
+
+@query_of(
+    "compose_filter_creator_host",
+    f"SELECT {EVENT}, count(*) AS n_deltas FROM events WHERE user_id = 3 AND event_id % 4 = 1 GROUP BY ALL",
+)
+def compose_filter_creator_host(spark, sf_dir):
+    log = tables.event_log(spark, sf_dir)
+    return compose.property_counts(compose.claims(log, where=(F.col("creator") == CREATOR) & (F.col("host") == HOST), negations=False, transactions=False))
+
+
+@query_of("compose_entity_selection", f"SELECT {EVENT}, value FROM events WHERE user_id IN (1, 7)")
+def compose_entity_selection(spark, sf_dir):
+    return numbers(compose.claims(tables.event_log(spark, sf_dir), ["user-1", USER], negations=False, transactions=False))
+
+
+# Last write by time, and its ties
+
+
+@query_of("lww_latest", latest_sql("ts DESC"))
+def lww_latest(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+def _daily(spark, sf_dir, tie):
+    return numbers(resolvers.last_write(event_claims(spark, sf_dir, tables.day_of("ts")), tie))
+
+
+@query_of("lww_delta_id", latest_sql("date_trunc('day', ts) DESC, event_id DESC"))
+def lww_delta_id(spark, sf_dir):
+    return _daily(spark, sf_dir, "delta-id")
+
+
+@query_of("lww_creator", latest_sql("date_trunc('day', ts) DESC, 'user-' || user_id DESC, event_id"))
+def lww_creator(spark, sf_dir):
+    return _daily(spark, sf_dir, "creator")
+
+
+@query_of("lww_host", latest_sql("date_trunc('day', ts) DESC, event_id % 4 DESC, event_id"))
+def lww_host(spark, sf_dir):
+    return _daily(spark, sf_dir, "host")
+
+
+@query_of("lww_lexicographic", latest_sql("date_trunc('day', ts) DESC, event_id DESC"))
+def lww_lexicographic(spark, sf_dir):
+    return _daily(spark, sf_dir, "lexicographic")
+
+
+@query_of("lww_last_arrival", latest_sql("date_trunc('day', ts) DESC, event_id DESC"))
+def lww_last_arrival(spark, sf_dir):
+    return numbers(resolvers.last_arrival_write(event_claims(spark, sf_dir, tables.day_of("ts"))))
+
+
+# Aggregation resolvers
+
+
+def _rounded(frame: DataFrame) -> DataFrame:
+    return frame.select("entity_id", "property", F.round("value", 9).alias("value"))
+
+
+def _aggregate(kind: str, function: str) -> None:
+    @query_of(f"agg_{kind}", f"SELECT {EVENT}, round(CAST({function}(value) AS DOUBLE), 9) AS value FROM events GROUP BY user_id, event_type")
+    def run(spark, sf_dir):
+        return _rounded(resolvers.aggregate(event_claims(spark, sf_dir), kind))
+
+
+for _kind, _function in (("min", "min"), ("max", "max"), ("sum", "sum"), ("average", "avg"), ("count", "count")):
+    _aggregate(_kind, _function)
+
+
+@query_of(
+    "agg_mixed",
+    f"""SELECT {EVENT}, round(CASE event_type WHEN 'click' THEN min(value) WHEN 'view' THEN max(value) ELSE sum(value) END, 9) AS value
+        FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id, event_type""",
+)
+def agg_mixed(spark, sf_dir):
+    return _rounded(resolvers.aggregate(event_claims(spark, sf_dir), {"click": "min", "view": "max", "purchase": "sum"}))
+
+
+@query_of(
+    "agg_non_numeric",
+    "SELECT 'customer-' || c_custkey AS entity_id, 'acctbal' AS property, CASE WHEN c_custkey % 29 = 0 THEN 0.0 ELSE round(c_acctbal, 9) END AS value FROM customer",
+)
+def agg_non_numeric(spark, sf_dir):
+    return _rounded(resolvers.aggregate(plain_claims(tables.customer_log(spark, sf_dir)), {"acctbal": "sum"}))
+
+
+# Plugins
+
+
+@query_of("lww_plugin", latest_sql("ts DESC"))
+def lww_plugin(spark, sf_dir):
+    return numbers(resolvers.last_write_plugin(event_claims(spark, sf_dir)))
+
+
+@query_of("fww_plugin", latest_sql("ts"))
+def fww_plugin(spark, sf_dir):
+    return numbers(resolvers.first_write_plugin(event_claims(spark, sf_dir)))
+
+
+@query_of(
+    "majority_plugin",
+    """SELECT entity_id, property, value FROM (SELECT source AS entity_id, 'lang' AS property, lang AS value,
+       row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id)) AS nth FROM documents GROUP BY source, lang) WHERE nth = 1""",
+)
+def majority_plugin(spark, sf_dir):
+    return resolvers.resolved_text(resolvers.majority_plugin(plain_claims(tables.language_log(spark, sf_dir))))
+
+
+@query_of(
+    "concat_plugin",
+    """WITH said AS (SELECT conv_id, 'text' AS property, text AS s, turn FROM conversations UNION ALL SELECT conv_id, 'role', role, turn FROM conversations),
+       firsts AS (SELECT conv_id, property, s, min(turn) AS first_turn FROM said WHERE s IS NOT NULL GROUP BY ALL)
+       SELECT 'conv-' || conv_id AS entity_id, property, string_agg(s, ' ' ORDER BY first_turn) AS value FROM firsts GROUP BY ALL""",
+)
+def concat_plugin(spark, sf_dir):
+    return resolvers.concatenation_plugin(plain_claims(tables.turn_log(spark, sf_dir)))
+
+
+@query_of("running_avg_plugin", f"SELECT {EVENT}, round(avg(value), 9) AS value FROM events GROUP BY ALL")
+def running_avg_plugin(spark, sf_dir):
+    return _rounded(resolvers.running_average_plugin(event_claims(spark, sf_dir)))
+
+
+@query_of("max_plugin", f"SELECT {EVENT}, max(value) AS value FROM events GROUP BY ALL")
+def max_plugin(spark, sf_dir):
+    return resolvers.extreme_plugin(event_claims(spark, sf_dir), largest=True)
+
+
+@query_of("min_plugin", f"SELECT {EVENT}, min(value) AS value FROM events GROUP BY ALL")
+def min_plugin(spark, sf_dir):
+    return resolvers.extreme_plugin(event_claims(spark, sf_dir), largest=False)
+
+
+@query_of(
+    "plugin_dag_minmaxavg",
+    """WITH running AS (SELECT user_id, arg_max(value, ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS now FROM events WHERE event_type = 'click')
+       SELECT 'user-' || user_id AS entity_id, max(now) AS largest, min(now) AS smallest, round((max(now) + min(now)) / 2, 4) AS middle FROM running GROUP BY user_id""",
+)
+def plugin_dag_minmaxavg(spark, sf_dir):
+    found = event_claims(spark, sf_dir)
+    largest, smallest = (resolvers.extreme_of_resolved(found, "click", x).withColumnRenamed("value", n) for x, n in ((True, "largest"), (False, "smallest")))
+    return largest.join(smallest, "entity_id").select("entity_id", "largest", "smallest", F.round((F.col("largest") + F.col("smallest")) / 2, 4).alias("middle"))
+
+
+@query_of(
+    "plugin_discounted_price",
+    "SELECT 'line-' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS entity_id, round(l_extendedprice * (1 - l_discount), 6) AS price FROM lineitem",
+)
+def plugin_discounted_price(spark, sf_dir):
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    entity = tables.key("line-", tables.line_id())
+    pointers = F.array(reference("a", entity, "price"), pointer("price", number(F.col("l_extendedprice"))), reference("b", entity, "discount"), pointer("discount", number(F.col("l_discount"))))
+    log = tables.log(tables.read(spark, sf_dir, "lineitem"), tables.key("lin-", tables.line_id()), F.lit(1), F.lit("h"), F.lit("c"), pointers, line)
+    last = lambda state, value, claim, resolved: value
+    plugins = {
+        "discount": folds.Plugin(lambda: 0.0, last, lambda state, resolved: state),
+        "price": folds.Plugin(lambda: 0.0, last, lambda state, resolved: state * (1 - resolved["discount"]), depends_on=("discount",)),
+    }
+    found = folds.fold(plain_claims(log), plugins).where("property = 'price'")
+    return found.select("entity_id", F.round("value.n", 6).alias("price"))
+
+
+@query_of(
+    "reduce_custom_view",
+    "SELECT 'user-' || user_id AS entity_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id",
+)
+def reduce_custom_view(spark, sf_dir):
+    """A user-defined reducer: how many claims an entity has, and of how many kinds."""
+    step = lambda state, claim: (state[0] + 1, state[1] | {claim["property"]})
+    return folds.reduce_entities(event_claims(spark, sf_dir), lambda: (0, frozenset()), step, lambda s: {"n": s[0], "kinds": len(s[1])}, "entity_id string, n long, kinds long")
+
+
+# Negation
+
+_GONE = "(event_id % 17 = 0 AND NOT (event_id % 51 = 0 AND event_id % 153 <> 0))"
+
+
+@query_of("neg_filter", f"SELECT {EVENT}, value FROM events WHERE NOT {_GONE}")
+def neg_filter(spark, sf_dir):
+    return numbers(compose.claims(tables.negation_log(spark, sf_dir), transactions=False))
+
+
+@query_of("neg_chain_resolved", f"SELECT entity_id, property, value FROM (SELECT {EVENT}, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS nth FROM events WHERE NOT {_GONE}) WHERE nth = 1")
+def neg_chain_resolved(spark, sf_dir):
+    return numbers(resolvers.last_write(compose.claims(tables.negation_log(spark, sf_dir), transactions=False)))
+
+
+@query_of("neg_chronological", f"SELECT {EVENT}, value FROM events WHERE event_id % 17 <> 0")
+def neg_chronological(spark, sf_dir):
+    return numbers(compose.claims_of(negation.chronological(tables.negation_log(spark, sf_dir))))
+
+
+@query_of(
+    "neg_stats_global",
+    f"""SELECT count(*) + count_if(event_id % 17 = 0) + count_if(event_id % 51 = 0) + count_if(event_id % 153 = 0) AS total,
+        count_if(event_id % 17 = 0) + count_if(event_id % 51 = 0) + count_if(event_id % 153 = 0) AS negations,
+        count_if({_GONE}) AS negated, count(*) - count_if({_GONE}) AS effective FROM events""",
+)
+def neg_stats_global(spark, sf_dir):
+    return negation.statistics(tables.negation_log(spark, sf_dir))
+
+
+@query_of("neg_stats_property", f"SELECT event_type AS property, count(*) AS total, count_if({_GONE}) AS negated FROM events GROUP BY event_type")
+def neg_stats_property(spark, sf_dir):
+    return negation.property_statistics(tables.negation_log(spark, sf_dir))
+
+
+@query_of("neg_stats_entity", f"SELECT {EVENT}, count(*) AS total, count_if(event_id % 17 = 0) AS negated FROM events GROUP BY ALL")
+def neg_stats_entity(spark, sf_dir):
+    return negation.entity_statistics(tables.negation_log(spark, sf_dir))
+
+
+@query_of(
+    "neg_of_entities",
+    """SELECT 'user-' || user_id AS entity_id, prefix || lpad(CAST(event_id AS VARCHAR), 10, '0') AS negation_id FROM events
+       JOIN (VALUES ('neg-', 17), ('ren-', 51), ('rer-', 153)) v(prefix, step) ON event_id % step = 0""",
+)
+def neg_of_entities(spark, sf_dir):
+    return negation.negations_of_entities(tables.negation_log(spark, sf_dir))
+
+
+# Transactions
+
+_DONE = "((event_id // 5) % 11 <> 0 AND (event_id // 5) % 7 <> 0 AND g.n = 5)"
+_GROUPS = "JOIN (SELECT event_id // 5 AS tx, count(*) AS n FROM events GROUP BY 1) g ON g.tx = events.event_id // 5"
+# a group of five minus the one that is missing from the table's end can't equal six
+_SIX = "((event_id // 5) % 11 <> 0 AND (event_id // 5) % 7 = 0 AND g.n = 6)"
+
+
+@query_of("tx_gate", f"SELECT {EVENT}, value FROM events {_GROUPS} WHERE {_DONE} OR {_SIX}")
+def tx_gate(spark, sf_dir):
+    found = compose.claims(tables.transaction_log(spark, sf_dir), negations=False)
+    return numbers(found.where(F.col("entity_id").startswith("user-")))
+
+
+@query_of(
+    "tx_status",
+    """SELECT 'tx-' || tx AS transaction_id, CAST(CASE WHEN tx % 11 = 0 THEN NULL WHEN tx % 7 = 0 THEN 6 ELSE 5 END AS DOUBLE) AS size, n AS received,
+       tx % 11 <> 0 AND n = CASE WHEN tx % 7 = 0 THEN 6 ELSE 5 END AS complete FROM (SELECT event_id // 5 AS tx, count(*) AS n FROM events GROUP BY 1)""",
+)
+def tx_status(spark, sf_dir):
+    return transactions.status(tables.transaction_log(spark, sf_dir))
+
+
+@query_of(
+    "tx_resize",
+    "SELECT 'tx-' || tx AS transaction_id, CAST(5 AS DOUBLE) AS size, n AS received, n = 5 AS complete FROM (SELECT event_id // 5 AS tx, count(*) AS n FROM events GROUP BY 1) WHERE tx % 11 <> 0",
+)
+def tx_resize(spark, sf_dir):
+    """A later declaration of the size counts."""
+    log = tables.transaction_log(spark, sf_dir)
+    again = log.where(F.col("delta_id").startswith("dec-")).select(
+        F.concat("delta_id", F.lit("-again")).alias("delta_id"), "time_created", "host", "creator",
+        F.array(F.get("pointers", F.lit(0)), pointer("size", number(F.lit(5)))).alias("pointers"), "received_from", (F.col("ingest_seq") + 1_000_000_000).alias("ingest_seq"),
+    )
+    return transactions.status(log.unionByName(again)).where("size IS NOT NULL")
+
+
+@query_of("tx_entities", "SELECT DISTINCT 'tx-' || (event_id // 5) AS transaction_id, 'user-' || user_id AS entity_id FROM events UNION SELECT DISTINCT 'tx-' || (event_id // 5), 'tx-' || (event_id // 5) FROM events")
+def tx_entities(spark, sf_dir):
+    return transactions.entities_of(tables.transaction_log(spark, sf_dir))
+
+
+@query_of("neg_before_filter", f"SELECT {EVENT}, value FROM events WHERE NOT {_GONE}")
+def neg_before_filter(spark, sf_dir):
+    """A filter that hides the negations themselves doesn't undo them."""
+    return numbers(compose.claims(tables.negation_log(spark, sf_dir), where=F.col("creator") != "moderator", transactions=False))
+
+
+# Stores
+
+
+def _store(log: DataFrame) -> MemoryStore:
+    store = MemoryStore(log.sparkSession)
+    store._log = log  # ids are unique: nothing to resolve
+    return store
+
+
+_ROW = "'evt-' || lpad(CAST(event_id AS VARCHAR), 10, '0') AS delta_id, epoch_us(ts) AS time_created"
+
+
+@query_of("store_by_id", f"SELECT {_ROW} FROM events WHERE event_id = 77")
+def store_by_id(spark, sf_dir):
+    return _store(tables.event_log(spark, sf_dir)).get("evt-0000000077").select("delta_id", "time_created")
+
+
+@query_of("store_by_entity", f"SELECT {_ROW} FROM events WHERE user_id = 7")
+def store_by_entity(spark, sf_dir):
+    return _store(tables.event_log(spark, sf_dir)).for_entity(USER).select("delta_id", "time_created")
+
+
+@query_of("store_by_context", f"SELECT {_ROW} FROM events WHERE user_id = 7 AND event_type = 'click'")
+def store_by_context(spark, sf_dir):
+    return _store(tables.event_log(spark, sf_dir)).by_context(USER, "click").select("delta_id", "time_created")
+
+
+_CRITERIA = LogQuery(host=HOST, contexts=("click", "view"), created_after=1, entities=tuple(f"user-{i}" for i in range(40)))
+_CRITERIA_SQL = "event_id % 4 = 1 AND event_type IN ('click', 'view') AND user_id < 40"
+
+
+@query_of("store_query_multi", f"SELECT {_ROW} FROM events WHERE {_CRITERIA_SQL}")
+def store_query_multi(spark, sf_dir):
+    return _store(tables.event_log(spark, sf_dir)).find(_CRITERIA).select("delta_id", "time_created")
+
+
+@query_of("store_query_page", f"SELECT {_ROW} FROM events WHERE event_id % 4 = 1 ORDER BY ts, event_id LIMIT 20 OFFSET 30")
+def store_query_page(spark, sf_dir):
+    return _store(tables.event_log(spark, sf_dir)).find(LogQuery(host=HOST, limit=20, offset=30)).select("delta_id", "time_created")
+
+
+@query_of("store_count", f"SELECT count(*) AS n FROM events WHERE {_CRITERIA_SQL}")
+def store_count(spark, sf_dir):
+    return _store(tables.event_log(spark, sf_dir)).scan(_CRITERIA.condition()).agg(F.count("*").alias("n"))
+
+
+@query_of("store_stats", "SELECT count(*) AS total_deltas, epoch_us(min(ts)) AS oldest, epoch_us(max(ts)) AS newest, count(DISTINCT user_id) AS total_entities FROM events")
+def store_stats(spark, sf_dir):
+    return statistics(tables.event_log(spark, sf_dir))
+
+
+@query_of("store_peers", "SELECT 'peer-' || (event_id % 3) AS received_from, count(*) AS n_deltas FROM events GROUP BY 1")
+def store_peers(spark, sf_dir):
+    return wire.counts_by_peer(tables.event_log(spark, sf_dir).withColumn("received_from", F.concat(F.lit("peer-"), (F.col("ingest_seq") % 3).cast("string"))))
+
+
+@query_of("dedupe_union_logs", f"SELECT {_ROW} FROM events")
+def dedupe_union_logs(spark, sf_dir):
+    log = tables.event_log(spark, sf_dir)
+    return wire.union_logs(log, log.withColumn("ingest_seq", F.col("ingest_seq") + 10_000_000)).select("delta_id", "time_created")
+
+
+@query_of("wire_roundtrip", f"SELECT {_ROW}, 'user-' || user_id AS entity_id, value FROM events")
+def wire_roundtrip(spark, sf_dir):
+    back = wire.from_lines(wire.to_lines(tables.event_log(spark, sf_dir)))
+    return back.select("delta_id", "time_created", F.col("pointers")[0]["target"]["s"].alias("entity_id"), F.col("pointers")[1]["target"]["n"].alias("value"))
+
+
+# Schema queries
+
+CUSTOMER = schemas.Schema(
+    "customer", "Customer", {"name": schemas.string(required=True), "acctbal": schemas.number(), "segment": schemas.string(), "nation": schemas.reference("nation", 3)}
+)
+FLAT_CUSTOMER = schemas.Schema("customer", "Customer", {k: v for k, v in CUSTOMER.properties.items() if k != "nation"})
+ORDER = schemas.Schema("order", "Order", {"status": schemas.string(required=True), "total": schemas.number(required=True), "priority": schemas.string()})
+NATION = schemas.Schema("nation", "Nation", {"name": schemas.string(required=True), "region": schemas.reference("region", 3)})
+REGION = schemas.Schema("region", "Region", {"name": schemas.string(required=True)})
+REGISTRY = schemas.Registry(CUSTOMER, NATION, REGION, ORDER)
+
+_CUSTOMER = """SELECT 'customer-' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 29 <> 0 THEN c_acctbal END AS acctbal,
+    CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment END AS segment FROM customer"""
+_ORDER = "SELECT 'order-' || o_orderkey AS id, o_orderstatus AS status, o_totalprice AS total, o_orderpriority AS priority FROM orders"
+
+
+def customer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_claims(tables.customer_log(spark, sf_dir))
+
+
+def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_claims(tables.order_log(spark, sf_dir))
+
+
+def _customers(name: str, logic, condition: str) -> None:
+    @query_of(name, f"{_CUSTOMER} WHERE {condition}")
+    def run(spark, sf_dir):
+        return query.query(customer_claims(spark, sf_dir), FLAT_CUSTOMER, logic)
+
+
+_BALANCE = {"var": "acctbal"}
+_TEXT_BALANCE = "c_custkey % 29 = 0"  # the text isn't a number: no comparison with one holds
+_customers("query_schema_all", None, "true")
+_customers("query_schema_filter_gt", {">": [_BALANCE, 5000]}, f"NOT {_TEXT_BALANCE} AND c_acctbal > 5000")
+_customers("query_schema_filter_in", {"in": [{"var": "segment"}, ["BUILDING", "MACHINERY"]]}, "c_custkey % 13 <> 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+_customers("query_schema_filter_null", {"==": [{"var": "segment"}, None]}, "c_custkey % 13 = 0")
+_customers(
+    "query_schema_filter_or_and",
+    {"or": [{">": [_BALANCE, 9000]}, {"and": [{"<": [_BALANCE, 0]}, {"!=": [{"var": "segment"}, None]}]}]},
+    f"NOT {_TEXT_BALANCE} AND (c_acctbal > 9000 OR (c_acctbal < 0 AND c_custkey % 13 <> 0))",
+)
+_customers("query_schema_filter_text_in", {"in": ["#00000001", {"var": "name"}]}, "contains(c_name, '#00000001')")
+_customers("query_schema_filter_between", {"<=": [0, _BALANCE, 1000]}, f"NOT {_TEXT_BALANCE} AND c_acctbal BETWEEN 0 AND 1000")
+_customers("query_schema_filter_arithmetic", {">": [{"%": [{"+": [_BALANCE, 0.5]}, 100]}, 50]}, f"NOT {_TEXT_BALANCE} AND (c_acctbal + 0.5) % 100 > 50")
+_customers("query_schema_filter_if", {"if": [{"<": [_BALANCE, 0]}, True, {"===": [{"var": "segment"}, "BUILDING"]}]}, f"(NOT {_TEXT_BALANCE} AND c_acctbal < 0) OR (c_custkey % 13 <> 0 AND c_mktsegment = 'BUILDING')")
+_customers("query_missing", {"!": {"missing": ["name", "segment"]}}, "c_custkey % 13 <> 0")
+_customers("query_null_below", {"<": [{"var": "nothing"}, 1]}, "true")
+
+
+@query_of("query_orders_eq", f"{_ORDER} WHERE o_orderstatus = 'F' AND o_totalprice >= 100000")
+def query_orders_eq(spark, sf_dir):
+    return query.query(order_claims(spark, sf_dir), ORDER, {"and": [{"==": [{"var": "status"}, "F"]}, {">=": [{"var": "total"}, 100000]}]})
+
+
+@query_of("query_limit_total", f"SELECT * FROM (SELECT id, name, (SELECT count(*) FROM customer) AS total_found FROM ({_CUSTOMER}) JOIN customer ON id = 'customer-' || c_custkey ORDER BY c_custkey LIMIT 25)")
+def query_limit_total(spark, sf_dir):
+    rows, total, _ = query.query_with_total(customer_claims(spark, sf_dir), FLAT_CUSTOMER, max_results=25)
+    return rows.select("id", "name", F.lit(total).cast("long").alias("total_found"))
+
+
+@query_of("query_one", f"{_CUSTOMER} WHERE c_custkey = 42")
+def query_one(spark, sf_dir):
+    return query.query_one(customer_claims(spark, sf_dir), FLAT_CUSTOMER, "customer-42")
+
+
+def _revised_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, of which every fourth has its status said again a microsecond later."""
+    log = tables.order_log(spark, sf_dir)
+    orders = tables.read(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+    entity = tables.key("order-", "o_orderkey")
+    again = F.array(reference("order", entity, "status"), pointer("status", text(F.lit("R"))))
+    return log.unionByName(tables.log(orders, tables.numbered("rev-", "o_orderkey"), tables.micros("o_orderdate") + 1, F.lit("host-1"), F.lit("clerk"), again, F.col("o_orderkey") + 10**12))
+
+
+_REVISED = "SELECT 'order-' || o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'R' ELSE o_orderstatus END AS status, o_totalprice AS total"
+
+
+@query_of("query_revised", f"{_REVISED}, o_orderpriority AS priority FROM orders")
+def query_revised(spark, sf_dir):
+    return query.query(plain_claims(_revised_orders(spark, sf_dir)), ORDER)
+
+
+@query_of("query_first_write_compat", _ORDER)
+def query_first_write_compat(spark, sf_dir):
+    return query.query(plain_claims(_revised_orders(spark, sf_dir)), ORDER, first_write=True)
+
+
+@query_of("query_stats", "SELECT NULL AS schema_id, count(*) + (SELECT count(DISTINCT c_nationkey) FROM customer) AS candidates FROM customer UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'order', 0")
+def query_stats(spark, sf_dir):
+    return query.statistics(customer_claims(spark, sf_dir), [FLAT_CUSTOMER, ORDER])
+
+
+@query_of("storage_query", _ORDER)
+def storage_query(spark, sf_dir):
+    return query.storage_query(tables.order_log(spark, sf_dir), ORDER, use_indexes=False)
+
+
+@query_of("storage_query_required_contexts", f"SELECT id, status, total, CAST(NULL AS VARCHAR) AS priority FROM ({_REVISED} FROM orders) WHERE total > 200000")
+def storage_query_required_contexts(spark, sf_dir):
+    """Through the index only deltas on required properties are read: the priority, said elsewhere, is null."""
+    return query.storage_query(_revised_orders(spark, sf_dir), ORDER, {">": [{"var": "total"}, 200000]})
+
+
+# Validation
+
+
+@query_of(
+    "validate_deltas",
+    """SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 10, '0') AS delta_id, CASE doc_id % 10 WHEN 1 THEN 'format:creator' WHEN 2 THEN 'format:time_created'
+       WHEN 3 THEN 'format:pointers' WHEN 4 THEN 'pointer:target_kind' END AS error_code FROM documents""",
+)
+def validate_deltas(spark, sf_dir):
+    return tables.defect_log(spark, sf_dir).select("delta_id", error_code().alias("error_code"))
+
+
+_STRICT = schemas.Schema("customer", "Customer", {"name": schemas.string(required=True), "acctbal": schemas.number(), "segment": schemas.string(required=True)})
+_BAD = "(c_custkey % 29 = 0)::INT + (c_custkey % 13 = 0)::INT"
+
+
+def _strict_claims(spark, sf_dir):
+    return customer_claims(spark, sf_dir).where(F.col("entity_id").startswith("customer-"))
+
+
+@query_of("schema_validate", f"SELECT 'customer-' || c_custkey AS entity_id, {_BAD} = 0 AS valid, {_BAD} AS n_errors, 0 AS n_warnings FROM customer")
+def schema_validate(spark, sf_dir):
+    return schemas.validate(_strict_claims(spark, sf_dir), _STRICT, REGISTRY)
+
+
+@query_of("schema_validation_stats", f"SELECT count(*) AS entities, count_if({_BAD} = 0) AS valid, count_if({_BAD} > 0) AS invalid, 0 AS with_warnings FROM customer")
+def schema_validation_stats(spark, sf_dir):
+    return schemas.validation_statistics(_strict_claims(spark, sf_dir), _STRICT, REGISTRY)
+
+
+@query_of(
+    "schema_error_histogram",
+    """SELECT 'error' AS level, 'acctbal' AS property, 'expected number, found string' AS message, count(*) AS n FROM customer WHERE c_custkey % 29 = 0 UNION ALL
+       SELECT 'error', 'segment', 'required property is missing', count(*) FROM customer WHERE c_custkey % 13 = 0""",
+)
+def schema_error_histogram(spark, sf_dir):
+    return schemas.error_histogram(_strict_claims(spark, sf_dir), _STRICT, REGISTRY)
+
+
+@query_of("schema_invalid_entities", f"SELECT 'customer-' || c_custkey AS entity_id FROM customer WHERE {_BAD} > 0")
+def schema_invalid_entities(spark, sf_dir):
+    return schemas.validate(_strict_claims(spark, sf_dir), _STRICT, REGISTRY).where("NOT valid").select("entity_id")
+
+
+# Nested resolution
+
+
+def _place_claims(spark, sf_dir):
+    return plain_claims(tables.customer_log(spark, sf_dir).unionByName(tables.place_log(spark, sf_dir)))
+
+
+def _customer_roots(spark, sf_dir):
+    return tables.read(spark, sf_dir, "customer").select(tables.key("customer-", "c_custkey").alias("entity_id"))
+
+
+_NESTED = """SELECT 'customer-' || c_custkey AS root, 'customer-' || c_custkey AS parent_id, 'nation' AS property, 1 AS depth, {kind1} AS kind, 'nation-' || c_nationkey AS node_id, 'nation' AS schema_id FROM customer"""
+_NESTED_2 = " UNION ALL SELECT 'customer-' || c_custkey, 'nation-' || c_nationkey, 'region', 2, 'entity', 'region-' || n_regionkey, 'region' FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_STEP = ("root", "parent_id", "property", "depth", "kind", "node_id", "schema_id")
+
+
+@query_of("nested_customer_nation_region", _NESTED.format(kind1="'entity'") + _NESTED_2)
+def nested_customer_nation_region(spark, sf_dir):
+    return nested.steps(_place_claims(spark, sf_dir), REGISTRY, "customer", _customer_roots(spark, sf_dir), 3).select(*_STEP)
+
+
+@query_of("nested_depth_truncated", _NESTED.format(kind1="'truncated'"))
+def nested_depth_truncated(spark, sf_dir):
+    return nested.steps(_place_claims(spark, sf_dir), REGISTRY, "customer", _customer_roots(spark, sf_dir), 1).select(*_STEP)
+
+
+_SHOP = schemas.Registry(
+    schemas.Schema("shop-order", "Order with items", {"items": schemas.array_of(schemas.reference("item", 3))}), schemas.Schema("item", "Item", {"sold_in": schemas.string(), "supplied": schemas.string()})
+)
+
+
+@query_of(
+    "composite_lineitem",
+    """WITH l AS (SELECT *, 'lin-' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS d FROM lineitem)
+       SELECT 'order-' || l_orderkey AS root, d AS delta_id, 'composite' AS kind, CAST(NULL AS VARCHAR) AS label, 'composite-' || d AS node_id, CAST(NULL AS DOUBLE) AS value FROM l UNION ALL
+       SELECT 'order-' || l_orderkey, d, 'entity', 'part', 'part-' || l_partkey, NULL FROM l UNION ALL
+       SELECT 'order-' || l_orderkey, d, 'entity', 'supplier', 'supplier-' || l_suppkey, NULL FROM l UNION ALL
+       SELECT 'order-' || l_orderkey, d, 'scalar', 'quantity', NULL, l_quantity FROM l UNION ALL
+       SELECT 'order-' || l_orderkey, d, 'scalar', 'price', NULL, l_extendedprice FROM l UNION ALL
+       SELECT 'order-' || l_orderkey, d, 'scalar', 'discount', NULL, l_discount FROM l""",
+)
+def composite_lineitem(spark, sf_dir):
+    found = plain_claims(tables.lineitem_log(spark, sf_dir))
+    roots = tables.read(spark, sf_dir, "orders").select(tables.key("order-", "o_orderkey").alias("entity_id"))
+    return nested.steps(found, _SHOP, "shop-order", roots, 2).select("root", "delta_id", "kind", "label", "node_id", F.col("value.n").alias("value"))
+
+
+# Collections
+
+
+@query_of("collection_ids", "SELECT 'customer-' || c_custkey AS entity_id FROM customer")
+def collection_ids(spark, sf_dir):
+    return collections.ids(_place_claims(spark, sf_dir), "customer")
+
+
+@query_of("collection_diff", "SELECT 'order-' || o_orderkey AS entity_id, 'status' AS property, 'F' AS value FROM orders WHERE o_orderstatus <> 'F'")
+def collection_diff(spark, sf_dir):
+    """What would change if every order's status were F and its total what it is."""
+    orders = tables.read(spark, sf_dir, "orders")
+    entity = tables.key("order-", "o_orderkey").alias("entity_id")
+    wanted = orders.select(entity, F.lit("status").alias("property"), text(F.lit("F")).alias("value")).unionByName(orders.select(entity, F.lit("total").alias("property"), number(F.col("o_totalprice")).alias("value")))
+    found = collections.changes(order_claims(spark, sf_dir), wanted)
+    return found.select("entity_id", "property", as_text(F.col("value")).alias("value"))
+
+
+# JSON trees and streams
+
+
+@query_of(
+    "json_ast_events_props",
+    """SELECT CAST(event_id AS VARCHAR) AS id, '' AS path, CAST(NULL AS VARCHAR) AS key, 'object' AS kind, CAST(NULL AS VARCHAR) AS value, 0 AS depth FROM events UNION ALL
+       SELECT CAST(event_id AS VARCHAR), 'k', 'k', 'number', json_extract_string(props, '$.k'), 1 FROM events""",
+)
+def json_ast_events_props(spark, sf_dir):
+    return json_ast.explode(tables.read(spark, sf_dir, "events"), "event_id", "props")
+
+
+@query_of("stream_lww", latest_sql("ts DESC"))
+def stream_lww(spark, sf_dir):
+    """The log arrives as files out of order of time; the view is kept up to date file by file."""
+    from strandlake.streaming.views import IncrementalView, read_log
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    folder = f"{shared.rstrip('/')}/{_fresh_name('stream')}"
+    log = tables.event_log(spark, sf_dir)
+    for k in (2, 0, 3, 1):
+        log.where(F.col("ingest_seq") % 4 == k).coalesce(1).write.mode("append").parquet(f"{folder}/incoming")
+    view = IncrementalView(spark, folder)
+    view.run(read_log(spark, f"{folder}/incoming"), f"{folder}/checkpoint")
+    return numbers(view.current())
+
+
+def _fresh_name(what: str) -> str:
+    import uuid
+
+    return f"strandlake-{what}-{uuid.uuid4().hex}"
+
+
+def drop_local_folders(pattern: str = "strandlake-stream-*") -> None:
+    """Removes what streaming queries left in the local temporary folder (tests)."""
+    from pathlib import Path
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+    for p in Path(tempfile.gettempdir()).glob(pattern):
+        shutil.rmtree(p, ignore_errors=True)
