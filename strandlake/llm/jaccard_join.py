@@ -7,19 +7,19 @@ A document is its set of distinct n-word shingles, as 64-bit hashes. Two documen
    its size is fixed. They order shingles, rare first (on a scale of half octaves, ties by hash).
 2. Documents with equal sets form one class and go on as one. A linked pair shares one of each side's first
    n - ceil(t * n) + 1 shingles in that order; only these prefixes become postings, and only those of
-   shingles that two classes share are kept. Postings meet by shingle and size band: two sizes that pass the
-   length filter lie in the same or in neighbouring bands.
+   shingles that two classes share are kept. A bucket is the postings of one shingle.
 3. Pairs of a bucket that pass the length and positional filters become candidates, and each candidate
-   pair is verified once, against whole texts: suffix filters (counts by hash range, then the sets halved a
-   few times, bound the overlap), then the intersection. A group of copies would give all its pairs, so
-   buckets proceed in rounds: a round pairs some leaders of every bucket (1, then 8, 64, ...) with its
-   members, except pairs that are verified already or connected already by links found before. A bucket is
-   done once it has no more members than the round has leaders, or all are connected. No pair that could
-   still connect two components is left out; a group of many near copies costs about as many
-   verifications as it has members.
-
-Texts of classes that share a posting are kept, compressed, in the shared folder, so rounds don't read
-the documents again. A membership filter of fixed size (2^FILTER_BITS bits) spares the others the exchange.
+   pair is verified once, against whole texts. Suffix filters come first: a parity sketch (whether each of
+   PARITY hash ranges holds an odd number of shingles; as many ranges as differ, at least as many shingles
+   do), then the sets halved a few times; then the intersection. A group of copies would give all its
+   pairs, so buckets proceed in rounds: a round pairs some leaders of every bucket (1, then 16, 256, ...)
+   with its members, except pairs that are verified already or connected already by links found before. A
+   bucket is done once it has no more members than the round has leaders, or all are connected, and of
+   buckets with the same members one goes on. No pair that could still connect two components is left
+   out; a group of many near copies costs about as many verifications as it has members.
+
+Texts of the classes that reach verification are kept, compressed, in the shared folder. A membership filter of
+fixed size (2^FILTER_BITS bits, by id) spares the other documents the exchange.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a text with fewer than n words
 has one shingle, its whole sequence; rows are documents, so rows with equal ids are joined by their own
@@ -48,8 +48,8 @@ PARTS = 64
 FILTER_BITS = 23
 LEADERS = 16
 SUFFIX_DEPTH = 4
-#: Hash ranges whose shingle counts bound two sets' overlap before their texts are fetched.
-RANGE_BITS = 5
+#: Hash ranges of the parity sketch: bits, a multiple of 64.
+PARITY = 1024
 #: Bytes of text whose shingles are made at a time.
 BLOCK = 1 << 20
 
@@ -113,14 +113,14 @@ def class_of(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, words: int, percent: int, rid: str | None = None) -> DataFrame:
-    """(doc_id, n, c1, c2, prefix, ranges, and rid if named) of every row; ranges: how many shingles each hash range holds."""
+    """(doc_id, n, c1, c2, prefix, parity, and rid if named) of every row."""
     table = docs.sparkSession.sparkContext.broadcast(levels)  # 2^TABLE_BITS bytes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
         for batch in sized_batches(batches, "text", BLOCK):
             bounds, hashes = shingle_sets([t.encode() for t in texts_of(batch)], words)
-            n, c1, c2, prefix, ranges = [], [], [], [], []
+            n, c1, c2, prefix, parity = [], [], [], [], []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 one = hashes[lo:hi]
                 a, b = class_of(one) if one.size else (0, 0)
@@ -128,41 +128,36 @@ def signatures(docs: DataFrame, levels: np.ndarray, words: int, percent: int, ri
                 c1.append(a)
                 c2.append(b)
                 prefix.append(ordered_prefix(one, table.value, percent).view(np.int64) if one.size else none)
-                ranges.append(np.bincount((one >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS))
-            columns = [*(pa.array(x, pa.int64()) for x in (n, c1, c2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in given), *columns], [*given, "n", "c1", "c2", "prefix", "ranges"])
+                odd = np.bincount((one % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1
+                parity.append(np.packbits(odd).view(np.int64))
+            columns = [*(pa.array(x, pa.int64()) for x in (n, c1, c2)), *(pa.array(x, pa.list_(pa.int64())) for x in (prefix, parity))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in given), *columns], [*given, "n", "c1", "c2", "prefix", "parity"])
 
     given = ["doc_id"] if rid is None else ["doc_id", "rid"]
     read = [F.col("doc_id").cast("long").alias("doc_id"), *([] if rid is None else [F.col(rid).alias("rid")]), "text"]
-    kept = ", ".join(f"{x} bigint" for x in (*given, "n", "c1", "c2")) + ", prefix array<bigint>, ranges array<int>"
+    kept = ", ".join(f"{x} bigint" for x in (*given, "n", "c1", "c2")) + ", prefix array<bigint>, parity array<bigint>"
     return docs.select(*read).mapInArrow(sign, kept)
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(rep, body): compressed texts of the classes (rep, doc_id, c1, c2)."""
-    low = F.col("c1").bitwiseAND((1 << FILTER_BITS) - 1) + 1  # the bitmap functions count from 1
-    bits = classes.select(low.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    member = np.zeros(((1 << FILTER_BITS) // 32768 + 2, 32768), dtype=bool)
+    size = 1 << FILTER_BITS
+    at = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(size)) + 1  # the bitmap functions count from 1
+    bits = classes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    member = np.zeros((size // 32768, 32768), dtype=bool)
     for r in bits.collect():  # 2^FILTER_BITS bits at most
-        member[r.bucket] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-    # bucket b, bit i stands for (b - 1) * 32768 + i
-    member = np.packbits(member.ravel()[32768 : 32768 + (1 << FILTER_BITS)])
+        member[r.bucket - 1] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(member.ravel()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, known = zstandard.ZstdCompressor(level=3), np.unpackbits(member)
+        press, known = zstandard.ZstdCompressor(level=3), np.unpackbits(packed.value).astype(bool)
         for batch in sized_batches(batches, "text", BLOCK):
+            batch = batch.filter(pa.array(known[batch.column("doc_id").fill_null(0).to_numpy() % size]))
             texts = [t.encode() for t in texts_of(batch)]
             bounds, hashes = shingle_sets(texts, words)
-            rows: tuple[list, ...] = ([], [], [], [])
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                one = hashes[bounds[i] : bounds[i + 1]]
-                if one.size:
-                    a, b = class_of(one)
-                    if known[a & ((1 << FILTER_BITS) - 1)]:
-                        for column, v in zip(rows, (doc_id, a, b, press.compress(texts[i])), strict=True):
-                            column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["doc_id", "c1", "c2", "body"])
+            names = [class_of(hashes[lo:hi]) if hi > lo else (0, 0) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+            columns = [*(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)), pa.array([press.compress(t) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "c1", "c2", "body"])
 
     bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(keep, "doc_id bigint, c1 bigint, c2 bigint, body binary")
     same = classes["doc_id"].eqNullSafe(bodies["doc_id"]) & (classes["c1"] == bodies["c1"]) & (classes["c2"] == bodies["c2"])
@@ -223,33 +218,40 @@ def verified(pairs: DataFrame, bodies: DataFrame, words: int, percent: int) -> D
     return with_both.select("a", "b", "body_a", "body_b").mapInArrow(check, "a bigint, b bigint")
 
 
-def overlapping(pairs: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets can overlap enough, going by how many shingles each has in every hash range."""
-    side = lambda c: ranges.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"))
-    bound = "aggregate(zip_with(r_a, r_b, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(f"{100 + percent} * {bound} >= {percent} * (n_a + n_b)").select("a", "b")
+def _can_overlap(x: str, y: str, percent: int) -> str:
+    """SQL: the sketches of rows x and y (named by prefix) leave room for a link. A link's sets differ in
+    n + m - 2 * overlap shingles at most, and overlap >= percent * (n + m) / (100 + percent)."""
+    differ = " + ".join(f"bit_count({x}parity[{i}] ^ {y}parity[{i}])" for i in range(PARITY // 64))
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * ({x}n + {y}n)"
+
+
+def overlapping(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose parity sketches leave room for a link."""
+    side = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(_can_overlap("a_", "b_", percent)).select("a", "b")
 
 
-def candidates(postings: DataFrame, labels: DataFrame | None, leaders: int, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of this round's leaders and their buckets' members that pass the filters."""
-    turn = W.partitionBy("bucket").orderBy(F.xxhash64(F.col("rep"), F.lit(leaders)), "rep") if leaders > 1 else None
-    if turn is None:
+def candidates(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of this round's leaders and their buckets' members that pass the filters.
+
+    Later rounds' postings have labels and sketches, so that connected and far pairs aren't made at all."""
+    if leaders == 1:
         lead = postings.groupBy("bucket").agg(F.min(F.struct("rep", "n", "pos")).alias("x")).select("bucket", "x.*")
     else:
+        turn = W.partitionBy("bucket").orderBy(F.xxhash64(F.col("rep"), F.lit(leaders)), "rep")
         lead = postings.withColumn("nth", F.row_number().over(turn)).where(F.col("nth") <= leaders).drop("nth")
     named = lead.select("bucket", *(F.col(c).alias(f"l_{c}") for c in lead.columns if c != "bucket"))
-    met = postings.join(named, "bucket").where("rep <> l_rep")
-    if labels is not None:
-        met = met.where("label <> l_label")
-    met = (
-        met.where(f"100 * least(n, l_n) >= {percent} * greatest(n, l_n)")
+    fits = (
+        f"rep <> l_rep AND 100 * least(n, l_n) >= {percent} * greatest(n, l_n)"
         # common so far is at most the lesser place; what follows, at most the shorter rest
-        .where(f"({100 + percent}) * (1 + least(pos, l_pos) + least(n - pos, l_n - l_pos) - 1) >= {percent} * (n + l_n)")
+        f" AND {100 + percent} * (least(pos, l_pos) + least(n - pos, l_n - l_pos)) >= {percent} * (n + l_n)"
     )
-    # the leader comes first for round 1, so that its pairs meet; later the order only makes pairs distinct
-    a, b = ("l_rep", "rep") if leaders == 1 else (F.least("rep", "l_rep"), F.greatest("rep", "l_rep"))
-    pick = [F.col(a).alias("a"), F.col(b).alias("b")] if leaders == 1 else [a.alias("a"), b.alias("b")]
-    return met.select(*pick).distinct()
+    if leaders > 1:
+        fits += f" AND label <> l_label AND {_can_overlap('', 'l_', percent)}"
+    met = postings.join(named, "bucket").where(fits)
+    # the leader comes first, so that its pairs meet; later the order only makes pairs distinct
+    a, b = (F.col("l_rep"), F.col("rep")) if leaders == 1 else (F.least("rep", "l_rep"), F.greatest("rep", "l_rep"))
+    return met.select(a.alias("a"), b.alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None = None) -> DataFrame:
@@ -266,20 +268,11 @@ def similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None =
     classes = spill_table(classes.select("c1", "c2", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("doc_id")), "classes")
 
     prefixes = signed.select("rid", "n", "prefix").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    posted = prefixes.select(F.col("rid").alias("rep"), "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1").select("token")
-    # a little wider than the length filter's ratio, so that rounding keeps neighbours neighbours
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * float(np.log(100 / percent)) if percent < 100 else 1e-9))
-    banded = posted.join(shared, "token", "left_semi").select("rep", "n", "pos", F.explode(F.array(band, band + 1)).alias("band"), "token")
-    postings = spill_table(banded.select(F.xxhash64("token", "band").alias("bucket"), "rep", "n", "pos"), "postings")
-
-    paired = postings.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    candidate_classes = classes.join(postings.join(paired, "bucket", "left_semi").select("rep").distinct(), "rep", "left_semi")
-    bodies = spill_table(class_texts(docs, candidate_classes, words), "bodies")
-    ranges = spill_table(
-        signed.select(F.col("rid").alias("rep"), "n", "ranges").join(candidate_classes.select("rep"), "rep", "left_semi"), "ranges"
-    )
-    links, labels = _link_rounds(postings, bodies, ranges, words, percent)
+    posted = prefixes.select(F.col("rid").alias("rep"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "bucket"))
+    shared = posted.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    postings = spill_table(posted.join(shared, "bucket").select("bucket", "size", "rep", "n", "pos"), "postings")
+    sketches = signed.select(F.col("rid").alias("rep"), F.col("n").cast("int").alias("n"), "parity")
+    labels = _link_rounds(docs, classes, postings, sketches, words, percent)
 
     grouped = rows.where("n > 0").join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
     if labels is not None:
@@ -292,33 +285,47 @@ def similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None =
     return found.unionByName(alone)
 
 
-def _link_rounds(postings: DataFrame, bodies: DataFrame, ranges: DataFrame, words: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
-    links = tried = labels = None
-    leaders, open_buckets = 1, postings
+def _link_rounds(docs: DataFrame, classes: DataFrame, postings: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Labels (id, root) of the classes that links connect, or None without links."""
+    links = tried = labels = bodies = None
+    leaders, members = 1, postings.select("bucket", "rep", "n", "pos")
+    open_buckets = members
     while True:
-        pairs = candidates(open_buckets, labels, leaders, percent)
+        pairs = candidates(open_buckets, leaders, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = spill_table(pairs, "pairs")
-        new = cut(verified(overlapping(pairs, ranges, percent), bodies, words, percent))
+        pairs = spill_table(overlapping(pairs, sketches, percent) if leaders == 1 else pairs, "pairs")
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tried = ordered if tried is None else tried.unionByName(ordered)
-        if not new.isEmpty():
+        needed = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        if bodies is not None:
+            needed = needed.join(bodies.select("rep"), "rep", "left_anti")
+        wanted = cut(classes.join(needed, "rep", "left_semi"))
+        if not wanted.isEmpty():
+            more = spill_table(class_texts(docs, wanted, words), "bodies")
+            bodies = more if bodies is None else bodies.unionByName(more)
+        new = cut(verified(pairs, bodies, words, percent)) if bodies is not None else None
+        if new is not None and not new.isEmpty():
             edges = new.select(F.col("a").alias("u"), F.col("b").alias("v"))
             links = edges if links is None else links.unionByName(edges)
             labels = cut(components(links))
         # buckets that this round didn't pair in full, and whose members aren't all connected
-        with_label = postings
+        if leaders == 1:
+            members = postings.where(F.col("size") > 2).select("bucket", "rep", "n", "pos")
+        labelled = members.withColumn("label", F.col("rep"))
         if labels is not None:
-            with_label = postings.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
-        else:
-            with_label = postings.withColumn("label", F.col("rep"))
-        state = with_label.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        left = state.where((F.col("size") > leaders + (leaders == 1)) & (F.col("lo") != F.col("hi"))).select("bucket")
-        open_buckets = spill_table(with_label.join(left, "bucket", "left_semi"), "open")
-        if open_buckets.isEmpty():
-            return links, labels
-        labels = labels if labels is not None else open_buckets.select(F.col("rep").alias("id"), F.col("rep").alias("root")).limit(0)
+            labelled = members.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
+        state = labelled.groupBy("bucket").agg(
+            F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), *(F.bit_xor(F.xxhash64(F.col("rep"), F.lit(i))).alias(f"x{i}") for i in (1, 2))
+        )
+        left = state.where((F.col("size") > leaders) & (F.col("lo") != F.col("hi")))
+        # of buckets with the same members one is enough: the positional filter holds for any common shingle
+        left = left.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket"))
+        labelled = spill_table(labelled.join(left, "bucket", "left_semi"), "open")
+        if labelled.isEmpty():
+            return labels
+        members = labelled.drop("label")
+        open_buckets = labelled.join(sketches.select("rep", "parity"), "rep")
         leaders *= LEADERS
 
 
