@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,13 +56,28 @@ def spill_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Tables that are written inside are deleted at the end: what is returned must be cut by then."""
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        for spark, path in _scratch[before:]:
+            _delete(spark, path)
+        del _scratch[before:]
+
+
 @atexit.register
 def _drop_scratch() -> None:
     for spark, path in _scratch:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already
             return
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, mix64, shingle_sets, sized_batches, spill_table, texts_of
+from strandlake.llm.common import cut, mix64, shingle_sets, sized_batches, spill_table, temporary_tables, texts_of
 from strandlake.llm.graph import components
 
 TABLE_BITS = 24
@@ -258,6 +258,11 @@ def similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None =
     """Per row: rid, doc_id, n_shingles, component_id (the smallest doc_id of its component), group.
 
     rid: a column of docs that numbers its rows, to be carried along; by default rows get new numbers."""
+    with temporary_tables():
+        return cut(_similar_groups(docs, words, percent, rid))
+
+
+def _similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None) -> DataFrame:
     levels = shingle_rarity(docs, words)
     signed = signatures(docs, levels, words, percent, rid)
     if rid is None:
