@@ -20,19 +20,34 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (child, parent) are stars: each child has one parent, and no parent is a child."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("child")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("child")))
+    roles = ends.groupBy("id").agg(F.sum("child").alias("as_child"), F.count("*").alias("all"))
+    return roles.where("as_child > 1 OR (as_child = 1 AND all > 1)").isEmpty()
+
+
+def components(edges: DataFrame, labels: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
     """(u, v) edges of longs to (id, root): root is the least id reachable. Ids without edges don't appear.
 
+    labels: the result for earlier edges, to which these come; then only edges between its components count.
     Every round replaces edges by as many or fewer that reach further down; the number of rounds grows with
     the logarithm of the largest component. State is cut to the shared folder each round."""
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sums = None
+    now = edges.select("u", "v")
+    if labels is not None:
+        for c in ("u", "v"):
+            now = now.join(labels.select(F.col("id").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    now = cut(now.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(most_rounds):
-        now = cut(_star(_star(now, large=True), large=False))
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == sums:
+        if _settled(now):
             break
-        sums = tuple(found)
+        now = cut(_star(_star(now, large=True), large=False))
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+    found = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    found = found.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    if labels is None:
+        return found
+    moved = labels.join(found.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left")
+    kept = moved.select("id", F.coalesce("to", "root").alias("root"))
+    return kept.unionByName(found.join(labels.select("id"), "id", "left_anti"))

@@ -12,7 +12,7 @@ A document is its set of distinct n-word shingles, as 64-bit hashes. Two documen
    pair is verified once, against whole texts. Suffix filters come first: a parity sketch (whether each of
    PARITY hash ranges holds an odd number of shingles; as many ranges as differ, at least as many shingles
    do), then the sets halved a few times; then the intersection. A group of copies would give all its
-   pairs, so buckets proceed in rounds: a round pairs some leaders of every bucket (1, then 16, 256, ...)
+   pairs, so buckets proceed in rounds: a round pairs some leaders of every bucket (1, then 64, 4096, ...)
    with its members, except pairs that are verified already or connected already by links found before. A
    bucket is done once it has no more members than the round has leaders, or all are connected, and of
    buckets with the same members one goes on. No pair that could still connect two components is left
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ TABLE_BITS = 24
 #: The counters travel in this many parts.
 PARTS = 64
 FILTER_BITS = 23
-LEADERS = 16
+LEADERS = 64
 SUFFIX_DEPTH = 4
 #: Hash ranges of the parity sketch: bits, a multiple of 64.
 PARITY = 1024
@@ -112,9 +113,8 @@ def class_of(hashes: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
 
 
-def signatures(docs: DataFrame, levels: np.ndarray, words: int, percent: int, rid: str | None = None) -> DataFrame:
-    """(doc_id, n, c1, c2, prefix, parity, and rid if named) of every row."""
-    table = docs.sparkSession.sparkContext.broadcast(levels)  # 2^TABLE_BITS bytes
+def signatures(docs: DataFrame, table: Broadcast, words: int, percent: int, rid: str | None = None) -> DataFrame:
+    """(doc_id, n, c1, c2, prefix, parity, and rid if named) of every row. table: shingle_rarity's, broadcast."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
@@ -263,11 +263,12 @@ def similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None =
 
 
 def _similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None) -> DataFrame:
-    levels = shingle_rarity(docs, words)
-    signed = signatures(docs, levels, words, percent, rid)
+    table = docs.sparkSession.sparkContext.broadcast(shingle_rarity(docs, words))  # 2^TABLE_BITS bytes
+    signed = signatures(docs, table, words, percent, rid)
     if rid is None:
         signed = signed.withColumn("rid", F.monotonically_increasing_id())
     signed = spill_table(signed, "signatures")
+    table.destroy()
     rows = signed.select("rid", "doc_id", "n", "c1", "c2")
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("rid", "doc_id")).alias("first"), F.count("*").alias("members"))
     classes = spill_table(classes.select("c1", "c2", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("doc_id")), "classes")
@@ -292,7 +293,7 @@ def _similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None)
 
 def _link_rounds(docs: DataFrame, classes: DataFrame, postings: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Labels (id, root) of the classes that links connect, or None without links."""
-    links = tried = labels = bodies = None
+    tried = labels = bodies = None
     leaders, members = 1, postings.select("bucket", "rep", "n", "pos")
     open_buckets = members
     while True:
@@ -311,9 +312,7 @@ def _link_rounds(docs: DataFrame, classes: DataFrame, postings: DataFrame, sketc
             bodies = more if bodies is None else bodies.unionByName(more)
         new = cut(verified(pairs, bodies, words, percent)) if bodies is not None else None
         if new is not None and not new.isEmpty():
-            edges = new.select(F.col("a").alias("u"), F.col("b").alias("v"))
-            links = edges if links is None else links.unionByName(edges)
-            labels = cut(components(links))
+            labels = cut(components(new.select(F.col("a").alias("u"), F.col("b").alias("v")), labels))
         # buckets that this round didn't pair in full, and whose members aren't all connected
         if leaders == 1:
             members = postings.where(F.col("size") > 2).select("bucket", "rep", "n", "pos")
