@@ -2,7 +2,8 @@
 
 A plugin folds one property's values in order of arrival and then resolves its state, with the resolved
 values of the plugins it depends on at hand. Plugins run in topological order. An entity's claims arrive
-grouped and sorted; they are streamed to the fold, one entity at a time, so memory is bounded by the batch.
+grouped and sorted; they are streamed to the folds. A reducer holds its state alone; plugins hold one entity's
+claims at a time.
 """
 
 from __future__ import annotations
@@ -59,10 +60,10 @@ def in_order(plugins: dict[str, Plugin]) -> list[str]:
     return done
 
 
-def fold_entity(plugins: dict[str, Plugin], rows: list[dict]) -> dict[str, Any]:
+def fold_entity(plugins: dict[str, Plugin], rows: list[dict], order: list[str] | None = None) -> dict[str, Any]:
     """Resolved values of one entity; rows: its claims in order of arrival."""
     resolved: dict[str, Any] = {}
-    for name in in_order(plugins):
+    for name in order or in_order(plugins):
         plugin, seen = plugins[name], False
         state = plugin.initialize()
         given = {k: v for k, v in resolved.items() if k in plugin.depends_on or set(plugins[k].aliases) & set(plugin.depends_on)}
@@ -77,24 +78,31 @@ def fold_entity(plugins: dict[str, Plugin], rows: list[dict]) -> dict[str, Any]:
 
 def fold(found: DataFrame, plugins: dict[str, Plugin]) -> DataFrame:
     """(entity_id, property, value): what the plugins make of each entity, values as targets."""
-    in_order(plugins)  # faults show before anything runs
+    order = in_order(plugins)  # faults show before anything runs
     wanted = sorted({p.reads or name for name, p in plugins.items()})
     kind = "struct<kind string, s string, n double, b boolean>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entity, rows = None, []
+        entity, rows, out = None, [], []
 
-        def out() -> pd.DataFrame:
-            values = fold_entity(plugins, rows) if rows else {}
-            return pd.DataFrame([(entity, k, tagged(v)) for k, v in values.items()], columns=["entity_id", "property", "value"])
+        def close() -> None:
+            if rows:
+                out.extend((entity, k, tagged(v)) for k, v in fold_entity(plugins, rows, order).items())
+
+        def frame() -> pd.DataFrame:
+            made = pd.DataFrame(out, columns=["entity_id", "property", "value"])
+            out.clear()
+            return made
 
         for batch in batches:
             for row in batch.to_dict("records"):
                 if row["entity_id"] != entity:
-                    yield out()
+                    close()
                     entity, rows = row["entity_id"], []
                 rows.append(row)
-        yield out()
+            yield frame()
+        close()
+        yield frame()
 
     columns = ("entity_id", "property", "value", "delta_id", "time_created", "creator", "host", "ingest_seq")
     rows = found.where(F.col("property").isin(wanted)).select(*columns)
@@ -107,16 +115,19 @@ def reduce_entities(found: DataFrame, initial: Callable[[], Any], reducer: Calla
     columns = [*(f.strip().split(" ")[0] for f in schema.split(","))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entity, state, any_row = None, None, False
+        entity, state, any_row, out = None, None, False, []
         for batch in batches:
             for row in batch.to_dict("records"):
                 if not any_row or row["entity_id"] != entity:
                     if any_row:
-                        yield pd.DataFrame([{"entity_id": entity, **resolver(state)}], columns=columns)
+                        out.append({"entity_id": entity, **resolver(state)})
                     entity, state, any_row = row["entity_id"], initial(), True
                 state = reducer(state, row | {"value": untagged(row["value"]), "kind": (row["value"] or {}).get("kind")})
+            yield pd.DataFrame(out, columns=columns)
+            out = []
         if any_row:
-            yield pd.DataFrame([{"entity_id": entity, **resolver(state)}], columns=columns)
+            out.append({"entity_id": entity, **resolver(state)})
+        yield pd.DataFrame(out, columns=columns)
 
     rows = found.select("entity_id", "property", "value", "delta_id", "time_created", "creator", "host", "ingest_seq")
     return rows.repartition("entity_id").sortWithinPartitions("entity_id", "ingest_seq", "delta_id").mapInPandas(run, schema)

@@ -29,7 +29,7 @@ def edges(log: DataFrame) -> DataFrame:
     )
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut in the folder that the session names; a local one where it names none (tests)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -50,18 +50,18 @@ def active_negations(found: DataFrame, most_rounds: int = 100) -> DataFrame:
     chained = found.join(found.select(F.col("negated_id").alias("negation_id")), "negation_id", "left_semi")
     if chained.isEmpty():
         return found.select("negation_id", "negated_id")
-    open_ = _checkpointed(found.select("negation_id", "negated_id"))
+    open_ = checkpointed(found.select("negation_id", "negated_id"))
     settled = None
     for _ in range(most_rounds):
         # nothing open takes these back, so they are in force ...
         active = open_.join(open_.select(F.col("negated_id").alias("negation_id")), "negation_id", "left_anti")
-        active = _checkpointed(active)
+        active = checkpointed(active)
         if active.isEmpty():
             break
         settled = active if settled is None else settled.unionByName(active)
         # ... and what they take back isn't; what those took back may be in force again
         fallen = active.select(F.col("negated_id").alias("negation_id")).distinct()
-        open_ = _checkpointed(open_.join(active.select("negation_id"), "negation_id", "left_anti").join(fallen, "negation_id", "left_anti"))
+        open_ = checkpointed(open_.join(active.select("negation_id"), "negation_id", "left_anti").join(fallen, "negation_id", "left_anti"))
         if open_.isEmpty():
             return settled
     return open_ if settled is None else settled.unionByName(open_)
@@ -136,9 +136,9 @@ def negations_of_entities(log: DataFrame) -> DataFrame:
     reached = plain.select("delta_id", F.explode(at).alias("entity_id"))
     found, out = edges(log).select("negation_id", F.col("negated_id").alias("delta_id")), None
     while True:
-        reached = _checkpointed(reached.join(found, "delta_id").select("entity_id", F.col("negation_id").alias("delta_id")).distinct())
+        reached = checkpointed(reached.join(found, "delta_id").select("entity_id", F.col("negation_id").alias("delta_id")).distinct())
         if out is not None:
-            reached = _checkpointed(reached.join(out, ["entity_id", "delta_id"], "left_anti"))
+            reached = checkpointed(reached.join(out, ["entity_id", "delta_id"], "left_anti"))
         if reached.isEmpty():
             break
         out = reached if out is None else out.unionByName(reached)

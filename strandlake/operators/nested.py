@@ -14,10 +14,14 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions.builder import untagged
+from strandlake.operators.negation import checkpointed
 from strandlake.operators.schemas import Property, Registry, Schema
+from strandlake.types import TARGET
+
 
 COLUMNS = ("root", "parent_id", "parent_path", "property", "depth", "delta_id", "kind", "label", "node_id", "node_path", "schema_id", "value")
 
@@ -48,6 +52,8 @@ def steps(found: DataFrame, registry: Registry, schema_id: str, roots: DataFrame
         made = _expand(level, found, visible, registry, schemas, depth, max_depth)
         if made is None:
             break
+        if depth + 1 < max_depth:
+            made = checkpointed(made)  # read twice: as steps, and as the next level's parents
         out = made if out is None else out.unionByName(made)
         level = made.where("kind = 'entity'").select("root", "node_id", "node_path", "schema_id").distinct()
         schemas = {r.target_schema for s in schemas if (known := registry.get(s)) for r in _references(known).values() if r.target_schema}
@@ -79,27 +85,34 @@ def _expand(level: DataFrame, found: DataFrame, visible: DataFrame, registry: Re
         F.posexplode(F.filter("pointers", lambda p: ~F.coalesce((p["target"]["kind"] == "string") & (p["target"]["s"] == F.col("parent_id")), F.lit(False)))).alias("pos", "p"),
     )
     flagged = others.withColumn("s", F.when(F.col("p.target.kind") == "string", F.col("p.target.s"))).join(visible.select(F.col("entity_id").alias("s"), F.lit(True).alias("is_entity")), "s", "left")
-    per_delta = ["root", "parent_path", "property", "delta_id"]
-    counts = flagged.groupBy(*per_delta).agg(F.count_if("is_entity").alias("n_entities"), F.count("*").alias("n_slots"))
-    joined = flagged.join(counts, per_delta)
+    per_delta = W.partitionBy("root", "parent_path", "property", "delta_id")
+    joined = flagged.select(
+        "*",
+        F.count_if("is_entity").over(per_delta).alias("n_entities"),
+        F.count("*").over(per_delta).alias("n_slots"),
+        F.min("pos").over(per_delta).alias("first_pos"),
+    )
     plain = (F.col("n_entities") == 1) & (F.col("n_slots") == 1)
-    # a composite with nothing but scalars is kept, one without any entity is a scalar object
-    kind = F.when(F.col("is_entity"), "entity").otherwise("scalar")
+    entity = F.coalesce("is_entity", F.lit(False))
+    # the deepest level is a stub: the entity is named, its properties aren't followed
+    kind = F.when(entity, "truncated" if depth + 1 >= max_depth else "entity").otherwise("scalar")
     composite = F.when(~plain, F.concat(F.lit("composite-"), F.col("delta_id")))
-    path = F.concat_ws("/", "parent_path", "property", F.coalesce(composite, F.lit("")), F.concat(F.coalesce(F.col("p.local_context"), F.lit("")), F.lit(":"), F.col("pos").cast("string")), F.col("delta_id"))
-    slots = joined.select(
-        "root", "parent_id", "parent_path", "property", F.lit(depth + 1).alias("depth"), "delta_id", kind.alias("kind"),
-        F.col("p.local_context").alias("label"), F.when(F.col("is_entity"), F.col("s")).alias("node_id"), path.alias("node_path"),
-        F.col("target_schema").alias("schema_id"), F.when(~F.coalesce("is_entity", F.lit(False)), F.col("p.target")).alias("value"), composite.alias("composite"),
+    slot_name = F.concat(F.coalesce(F.col("p.local_context"), F.lit("")), F.lit(":"), F.col("pos").cast("string"))
+    null = F.lit(None).cast("string")
+    slot = F.struct(
+        kind.alias("kind"), F.col("p.local_context").alias("label"), F.when(entity, F.col("s")).alias("node_id"),
+        F.concat_ws("/", "parent_path", "property", F.coalesce(composite, F.lit("")), slot_name, F.col("delta_id")).alias("node_path"),
+        F.when(~entity, F.col("p.target")).alias("value"),
+    )
+    whole = F.struct(
+        F.lit("composite").alias("kind"), null.alias("label"), composite.alias("node_id"),
+        F.concat_ws("/", "parent_path", "property", composite).alias("node_path"), F.lit(None).cast(TARGET).alias("value"),
     )
-    if depth + 1 >= max_depth:
-        # the deepest level is a stub: the entity is named, its properties aren't followed
-        slots = slots.withColumn("kind", F.when(F.col("kind") == "entity", "truncated").otherwise(F.col("kind")))
-    whole = slots.where("composite IS NOT NULL").select(
-        "root", "parent_id", "parent_path", "property", "depth", "delta_id", F.lit("composite").alias("kind"), F.lit(None).cast("string").alias("label"),
-        F.col("composite").alias("node_id"), F.concat_ws("/", "parent_path", "property", "composite").alias("node_path"), "schema_id", F.lit(None).cast("struct<kind:string,s:string,n:double,b:boolean>").alias("value"),
-    ).distinct()
-    return slots.drop("composite").unionByName(whole)
+    # a composite's own row goes with its first slot
+    rows = F.when(~plain & (F.col("pos") == F.col("first_pos")), F.array(slot, whole)).otherwise(F.array(slot))
+    return joined.select(
+        "root", "parent_id", "parent_path", "property", F.lit(depth + 1).alias("depth"), "delta_id", F.explode(rows).alias("x"), F.col("target_schema").alias("schema_id")
+    ).select("root", "parent_id", "parent_path", "property", "depth", "delta_id", "x.kind", "x.label", "x.node_id", "x.node_path", "schema_id", "x.value")
 
 
 def objects(found: DataFrame, registry: Registry, schema_id: str, root: str, max_depth: int = 3) -> dict[str, Any] | None:
