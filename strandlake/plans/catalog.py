@@ -81,7 +81,7 @@ def compose_referenced_as(spark, sf_dir):
     return found.select("entity_id", F.array_join("referenced_as", ",").alias("labels"))
 
 
-@query_of("decompose_roundtrip", "SELECT 'lin-' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS delta_id, epoch_us(l_shipdate) AS time_created, 6 AS n_pointers FROM lineitem")
+@query_of("decompose_roundtrip", "SELECT 'lin-' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS delta_id, epoch_us(l_shipdate) AS time_created, 6 AS n_pointers FROM lineitem")
 def decompose_roundtrip(spark, sf_dir):
     found = plain_claims(tables.lineitem_log(spark, sf_dir))
     return compose.decompose(compose.views(found)).select("delta_id", "time_created", F.size("pointers").alias("n_pointers"))
@@ -232,7 +232,7 @@ def plugin_dag_minmaxavg(spark, sf_dir):
 
 @query_of(
     "plugin_discounted_price",
-    "SELECT 'line-' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS entity_id, round(l_extendedprice * (1 - l_discount), 6) AS price FROM lineitem",
+    "SELECT 'line-' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS entity_id, round(l_extendedprice * (1 - l_discount), 6) AS price FROM lineitem",
 )
 def plugin_discounted_price(spark, sf_dir):
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
@@ -603,7 +603,7 @@ _SHOP = schemas.Registry(
 
 @query_of(
     "composite_lineitem",
-    """WITH l AS (SELECT *, 'lin-' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS d FROM lineitem)
+    """WITH l AS (SELECT *, 'lin-' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS d FROM lineitem)
        SELECT 'order-' || l_orderkey AS root, d AS delta_id, 'composite' AS kind, CAST(NULL AS VARCHAR) AS label, 'composite-' || d AS node_id, CAST(NULL AS DOUBLE) AS value FROM l UNION ALL
        SELECT 'order-' || l_orderkey, d, 'entity', 'part', 'part-' || l_partkey, NULL FROM l UNION ALL
        SELECT 'order-' || l_orderkey, d, 'entity', 'supplier', 'supplier-' || l_suppkey, NULL FROM l UNION ALL

@@ -147,8 +147,9 @@ def place_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_id() -> Column:
-    """Order and line number alone aren't unique."""
-    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """Order and line number alone aren't unique, nor with the part and supplier."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
 
 
 def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
