@@ -172,6 +172,27 @@ def _parser(training: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(training))
 
 
+def cleaned(training: dict[str, list[str]], size: int = PIECE) -> dict[str, str]:
+    """Training text without passages of other languages, which documents of any language may hold.
+
+    Documents are dealt into two halves; each half's pieces are parsed by automata of the other, and stay if
+    their own language explains them best. A language that would lose most of its pieces keeps all."""
+    whole = {lang: "\n".join(texts) for lang, texts in training.items()}
+    if len(training) < 2 or any(len(texts) < 2 for texts in training.values()):
+        return whole
+    kept: dict[str, list[str]] = {lang: [] for lang in training}
+    total = dict.fromkeys(training, 0)
+    for half in (0, 1):
+        parser = Parser({lang: "\n".join(texts[1 - half :: 2]) for lang, texts in training.items()})
+        for lang, texts in training.items():
+            text = "\n".join(texts[half::2])
+            pieces = [text[i : i + size] for i in range(0, len(text), size)]
+            total[lang] += len(pieces)
+            names, _ = parser.predict(pieces)
+            kept[lang] += [p for p, name in zip(pieces, names, strict=True) if name == lang]
+    return {lang: "\n".join(kept[lang]) if 2 * len(kept[lang]) > total[lang] else whole[lang] for lang in training}
+
+
 def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, str]:
     """Training text by language. Ids are chosen first, from narrow rows; then only their texts are read."""
     turn = W.partitionBy("lang").orderBy("turn", "doc_id")
@@ -198,7 +219,7 @@ def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[st
         text = texts.get((r.doc_id, r.lang))
         if text and sum(map(len, out.setdefault(r.lang, []))) < TRAIN_SYMBOLS:
             out[r.lang].append(text)
-    return {lang: "\n".join(parts) for lang, parts in out.items() if parts}
+    return cleaned({lang: parts for lang, parts in out.items() if parts})
 
 
 def identify(docs: DataFrame, training: dict[str, str] | None = None) -> DataFrame:

@@ -71,3 +71,14 @@ def test_held_out_languages(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     assert lp.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in lp.identify(docs, {}).collect()} == {"und"}
+
+
+def test_foreign_passages_leave_the_training_text():
+    draw = random.Random(4)
+    text = lambda lang, n: " ".join(draw.choice(WORDS[lang]) for _ in range(n))
+    training = {lang: [text(lang, 200) for _ in range(6)] for lang in WORDS}
+    training["cc"][2] += " " + text("aa", 200)
+    found = lp.cleaned(training)
+    count = lambda s, words: sum(w in words for w in s.split())
+    assert count(found["cc"], WORDS["aa"]) < 60 and count(found["cc"], WORDS["cc"]) > 1000
+    assert lp.cleaned({"aa": ["x y"], "bb": ["z"]}) == {"aa": "x y", "bb": "z"}
