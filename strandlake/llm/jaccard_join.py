@@ -270,7 +270,7 @@ def _similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None)
     signed = spill_table(signed, "signatures")
     table.destroy()
     rows = signed.select("rid", "doc_id", "n", "c1", "c2")
-    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("rid", "doc_id")).alias("first"), F.count("*").alias("members"))
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("rid", "doc_id")).alias("first"))
     classes = spill_table(classes.select("c1", "c2", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("doc_id")), "classes")
 
     prefixes = signed.select("rid", "n", "prefix").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")

@@ -105,7 +105,7 @@ def merged_purity(rows: DataFrame) -> DataFrame:
     parent = F.regexp_replace("template", "/[^/]*$", "")
     totals = rows.groupBy("host", parent.alias("parent")).agg(F.sum("labelled").alias("p_labelled"), F.sum("blocked").alias("p_blocked"))
     hosts = rows.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("blocked").alias("h_blocked"))
-    overall = rows.agg(F.sum("labelled").alias("a_labelled"), F.sum("blocked").alias("a_blocked"))
+    labelled, blocked = rows.agg(F.sum("labelled"), F.sum("blocked")).first()  # two sums
     share = F.coalesce(F.try_divide("p_blocked", "p_labelled"), F.lit(0.0))
     error = F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1))) + 1e-9
     similar = (F.col("labelled") < MIN_LABELLED) | (F.abs(F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1)) - share) <= Z * error)
@@ -115,9 +115,9 @@ def merged_purity(rows: DataFrame) -> DataFrame:
         # alike in having labels at all: evidence about one branch says nothing of branches without any
         .withColumn("merged", F.when(similar, F.concat("parent", F.when(F.col("labelled") > 0, "/{labelled}").otherwise("/{unlabelled}"))).otherwise(F.col("template")))
     )
-    base = (F.coalesce("a_blocked", F.lit(0)) + 1.0) / (F.coalesce("a_labelled", F.lit(0)) + 2.0)
+    base = ((blocked or 0) + 1.0) / ((labelled or 0) + 2.0)
     groups = named.groupBy("host", "merged").agg(F.sum("labelled").alias("m_labelled"), F.sum("blocked").alias("m_blocked"))
-    scored = groups.join(hosts, "host").crossJoin(F.broadcast(overall))  # one row of sums
+    scored = groups.join(hosts, "host")
     host_share = (F.col("h_blocked") + PRIOR * base) / (F.col("h_labelled") + PRIOR)
     purity = (F.col("m_blocked") + PRIOR * host_share) / (F.col("m_labelled") + PRIOR)
     # without labelled rows of its own a template isn't pure in anything
