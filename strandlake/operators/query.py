@@ -13,12 +13,8 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.jsonlogic import compile_predicate
 from strandlake.functions.targets import is_reference, value_of
-from strandlake.operators.compose import claims_of
 from strandlake.operators.schemas import Property, Schema
 
-_ID = ("id", "_first_seq")
-
-
 def with_required(found: DataFrame, schema: Schema) -> DataFrame:
     """Entities (entity_id) that are claimed under every required property."""
     needed = schema.required_properties
@@ -126,5 +122,3 @@ def storage_query(log: DataFrame, schema: Schema, logic: Any = None, use_indexes
         out = out.orderBy("_first_seq", "id").limit(max_results)
     return out.select("id", *(typed(n, p).alias(n) for n, p in schema.properties.items()))
 
-
-__all__ = ["claims_of", "fields_of", "query", "query_one", "query_with_total", "resolve_entities", "statistics", "storage_query", "with_required"]
