@@ -10,11 +10,12 @@ URLs that no rule judges get the verdict of their template:
    half of it but for a file extension, or it is long hex), or where its place under one parent has many values: at least
    MIN_VALUES, each with less than MAX_REPEATS rows on average. Variable segments become `*`, level by level,
    so that a parent is generalised before its children are counted. Segments beyond DEPTH become `**`.
-2. Sibling templates, equal but for one segment, merge when they are statistically similar: each has too
+2. From the host down, the branches of one parent merge when they are statistically similar: each has too
    little labelled evidence to be told from its parent (fewer than MIN_LABELLED labelled rows, or a blocked
-   share within Z standard errors of the parent's).
-3. A template's purity is its blocked share among labelled rows, smoothed towards its host's and that towards
-   all rows' share, each with the weight of PRIOR rows. Above LIMIT it is rejected.
+   share within Z standard errors of the parent's). Branches with less than that evidence go on as one subtree.
+3. A branch's purity is the blocked share among the labelled rows of those it merged with, smoothed towards its
+   parent's, at the top its host's, and that towards all rows' share, each with the weight of PRIOR rows. Without
+   labelled rows it is thus the parent's. A template whose purity is above LIMIT is rejected.
 
 The labels are the rules' own verdicts on the URLs they fit. Statistics are sums by (host, template), so a
 host with a third of all rows is summed before it is shuffled; templates, not URLs, meet at a parent.
@@ -101,28 +102,45 @@ def templates(rows: DataFrame) -> DataFrame:
 
 
 def merged_purity(rows: DataFrame) -> DataFrame:
-    """(host, template, n, labelled, blocked) to (host, template, merged, purity)."""
-    parent = F.regexp_replace("template", "/[^/]*$", "")
-    totals = rows.groupBy("host", parent.alias("parent")).agg(F.sum("labelled").alias("p_labelled"), F.sum("blocked").alias("p_blocked"))
-    hosts = rows.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("blocked").alias("h_blocked"))
+    """(host, template, n, labelled, blocked) to (host, template, purity).
+
+    Level by level from the host down: a place's branches merge and take their group's purity, smoothed towards
+    that of the place. Branches with enough labelled rows keep their own subtrees; the others' are one."""
     labelled, blocked = rows.agg(F.sum("labelled"), F.sum("blocked")).first()  # two sums
-    share = F.coalesce(F.try_divide("p_blocked", "p_labelled"), F.lit(0.0))
-    error = F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1))) + 1e-9
-    similar = (F.col("labelled") < MIN_LABELLED) | (F.abs(F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1)) - share) <= Z * error)
-    named = (
-        rows.withColumn("parent", parent)
-        .join(totals, ["host", "parent"])
-        # alike in having labels at all: evidence about one branch says nothing of branches without any
-        .withColumn("merged", F.when(similar, F.concat("parent", F.when(F.col("labelled") > 0, "/{labelled}").otherwise("/{unlabelled}"))).otherwise(F.col("template")))
-    )
     base = ((blocked or 0) + 1.0) / ((labelled or 0) + 2.0)
-    groups = named.groupBy("host", "merged").agg(F.sum("labelled").alias("m_labelled"), F.sum("blocked").alias("m_blocked"))
-    scored = groups.join(hosts, "host")
-    host_share = (F.col("h_blocked") + PRIOR * base) / (F.col("h_labelled") + PRIOR)
-    purity = (F.col("m_blocked") + PRIOR * host_share) / (F.col("m_labelled") + PRIOR)
-    # without labelled rows of its own a template isn't pure in anything
-    scored = scored.select("host", "merged", F.when(F.col("m_labelled") > 0, purity).otherwise(F.lit(0.0)).alias("purity"))
-    return named.select("host", "template", "merged").join(scored, ["host", "merged"])
+    hosts = rows.groupBy("host").agg(((F.sum("blocked") + PRIOR * base) / (F.sum("labelled") + PRIOR)).alias("purity"))
+    # a template's own place ends its segments
+    segs = F.concat(F.filter(F.split("template", "/"), lambda s: s != ""), F.array(F.lit("")))
+    found = cut(rows.join(hosts, "host").select("host", "template", segs.alias("segs"), "labelled", "blocked", F.lit("").alias("done"), "purity"))
+    deepest = found.agg(F.max(F.size("segs"))).first()[0] or 0
+    for level in range(deepest):
+        here = F.get("segs", F.lit(level))
+        live = found.where(here.isNotNull()).withColumn("here", here)
+        branches = live.groupBy("host", "done", "here").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.first("purity").alias("purity"))
+        places = branches.groupBy("host", "done").agg(F.sum("labelled").alias("p_labelled"), F.sum("blocked").alias("p_blocked"))
+        share = F.coalesce(F.try_divide("p_blocked", "p_labelled"), F.lit(0.0))
+        error = F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1))) + 1e-9
+        few = F.col("labelled") < MIN_LABELLED
+        similar = few | (F.abs(F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1)) - share) <= Z * error)
+        # no path holds a `?`
+        named = branches.join(places, ["host", "done"]).select(
+            "host", "done", "here", "labelled", "blocked", "purity", "p_labelled",
+            F.when(similar, F.lit("?")).otherwise(F.col("here")).alias("merged"), F.when(few, F.lit("?")).otherwise(F.col("here")).alias("under"),
+        )
+        groups = named.groupBy("host", "done", "merged").agg(F.sum("labelled").alias("m_labelled"), F.sum("blocked").alias("m_blocked"))
+        smoothed = (F.col("m_blocked") + PRIOR * F.col("purity")) / (F.col("m_labelled") + PRIOR)
+        if level > 0:
+            # the same evidence isn't counted again level by level
+            smoothed = F.when(F.col("m_labelled") == F.col("p_labelled"), F.col("purity")).otherwise(smoothed)
+        scored = named.join(groups, ["host", "done", "merged"]).select("host", "done", "here", "under", smoothed.alias("new"))
+        stepped = found.withColumn("here", here).join(scored, ["host", "done", "here"], "left")
+        found = cut(
+            stepped.select(
+                "host", "template", "segs", "labelled", "blocked",
+                F.when(F.col("new").isNull(), F.col("done")).otherwise(F.concat("done", F.lit("/"), "under")).alias("done"), F.coalesce("new", "purity").alias("purity"),
+            )
+        )
+    return found.select("host", "template", "purity")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -62,3 +62,20 @@ def test_a_pure_template_is_rejected_where_no_rule_fits(spark):
     urls = [f"http://a.spam.io/p/1{i}" for i in range(80)] + [f"http://a.spam.io/p/2{i}" for i in range(5)]
     out = {r.page_id: r for r in u.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
     assert all(out[i].rule is None and out[i].verdict == "block" for i in range(80, 85))
+
+
+def test_branches_without_evidence_follow_similar_siblings_and_parents(spark):
+    rules = (("bad.io", "/de/", "block"), ("good.io", "/de/", "allow"), ("mix.io", "/a/x/", "block"), ("mix.io", "/a/y/", "allow"), ("mix.io", "/b/x/", "allow"), ("mix.io", "/b/y/", "block"))
+    urls = [f"http://bad.io/de/{i}" for i in range(40)] + [f"http://good.io/de/{i}" for i in range(40)]
+    urls += [f"http://mix.io/{p}/{i}" for p in ("a/x", "a/y", "b/x", "b/y") for i in range(40)]
+    known = len(urls)
+    rejected = ["http://bad.io/en/1", "http://bad.io/fr/new/2.html", "http://bad.io/", "http://bad.io/de"]
+    kept = ["http://good.io/en/1", "http://other.io/en/1", "http://mix.io/a/z/1", "http://mix.io/c/1"]
+    pages = spark.createDataFrame(list(enumerate(urls + rejected + kept)), "page_id long, url string")
+    out = {r.page_id: r for r in u.judge(pages, rules).collect()}
+    assert len(out) == known + len(rejected) + len(kept)
+    for i, url in enumerate(rejected + kept, known):
+        assert out[i].rule is None and out[i].verdict == ("block" if url in rejected else "allow"), (url, out[i])
+    # equal shares above don't hide what tells the branches below apart
+    by_template = {r.template: r.purity for r in out.values() if r.host == "mix.io" and r.rule}
+    assert min(by_template["/a/x/*"], by_template["/b/y/*"]) > 0.8 and max(by_template["/a/y/*"], by_template["/b/x/*"]) < 0.2
