@@ -17,6 +17,9 @@ A document is its set of distinct n-word shingles, as 64-bit hashes. Two documen
    bucket is done once it has no more members than the round has leaders, or all are connected, and of
    buckets with the same members one goes on. No pair that could still connect two components is left
    out; a group of many near copies costs about as many verifications as it has members.
+4. On demand, links are counted: all of them lie inside components, so every pair of a component's classes is
+   compared by its exact intersection, in cells of two blocks of CELL classes or so, whose sets are made once a
+   cell. Copies count by their class's size. A component of two classes has one link.
 
 Texts of the classes that reach verification are kept, compressed, in the shared folder. A membership filter of
 fixed size (2^FILTER_BITS bits, by id) spares the other documents the exchange.
@@ -53,6 +56,8 @@ SUFFIX_DEPTH = 4
 PARITY = 1024
 #: Bytes of text whose shingles are made at a time.
 BLOCK = 1 << 20
+#: Classes of a component that go into a cell from either side, on average; shingles of a cell compared at a time.
+CELL, CELL_SHINGLES = 128, 1 << 19
 
 
 def _table_index(hashes: np.ndarray) -> np.ndarray:
@@ -254,15 +259,74 @@ def candidates(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
     return met.select(a.alias("a"), b.alias("b")).distinct()
 
 
-def similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None = None) -> DataFrame:
+def intersections(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of `sets` with each of `others`."""
+    m, owner = len(sets), np.repeat(np.arange(len(sets) + len(others)), [x.size for x in (*sets, *others)])
+    hashes = np.concatenate([*sets, *others])
+    out = np.zeros((m, len(others)), dtype=np.int64)
+    parts = 1 + hashes.size // CELL_SHINGLES
+    for part in range(parts):
+        mine = hashes % np.uint64(parts) == part
+        _, at, found = np.unique(hashes[mine], return_inverse=True, return_counts=True)
+        shared = found > 1
+        kept = shared[at]
+        at, rows = (np.cumsum(shared) - 1)[at[kept]], owner[mine][kept]
+        order = np.argsort(at, kind="stable")
+        at, rows = at[order], rows[order]
+        for lo in range(0, int(shared.sum()), 4096):
+            x, y = np.searchsorted(at, [lo, lo + 4096])
+            has = np.zeros((m + len(others), 4096), dtype=np.float32)
+            has[rows[x:y], at[x:y] - lo] = 1
+            out += (has[:m] @ has[m:].T).astype(np.int64)
+    return out
+
+
+def link_counts(labels: DataFrame, classes: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
+    """(rep, links): how many rows of other classes each class of the components (id, root) links with.
+
+    classes: (rep, copies), the rows of each class."""
+    members = labels.select(F.col("id").alias("rep"), "root").join(classes.select("rep", "copies"), "rep")
+    sized = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("copies").alias("total"))
+    members = cut(members.join(sized, "root"))
+    two = members.where("m = 2").select("rep", (F.col("total") - F.col("copies")).alias("links"))
+
+    blocks = F.ceil(F.col("m") / CELL)
+    own = members.where("m > 2").join(bodies, "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "body")
+
+    def count(cell: pa.Table) -> pa.Table:
+        read = zstandard.ZstdDecompressor()
+        bounds, hashes = shingle_sets([read.decompress(t) for t in cell.column("body").to_pylist()], words)
+        sets = [hashes[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        copies, side = cell.column("copies").to_numpy(), cell.column("own").to_numpy()
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        common = intersections([sets[x] for x in a], [sets[x] for x in b]) if a.size and b.size else np.zeros((a.size, b.size), np.int64)
+        sizes = np.diff(bounds)
+        hit = 100 * common >= percent * (sizes[a][:, None] + sizes[b][None, :] - common)
+        links = np.zeros(len(sets), dtype=np.int64)
+        if i == j:
+            np.fill_diagonal(hit, False)
+            links[a] = hit @ copies[b]
+        else:
+            links[a], links[b] = hit @ copies[b], copies[a] @ hit
+        return pa.table({"rep": cell.column("rep"), "links": pa.array(links, pa.int64())})
+
+    counted = cells.groupBy("root", "i", "j").applyInArrow(count, "rep bigint, links bigint")
+    return two.unionByName(counted.groupBy("rep").agg(F.sum("links").alias("links")))
+
+
+def similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None = None, links: bool = False) -> DataFrame:
     """Per row: rid, doc_id, n_shingles, component_id (the smallest doc_id of its component), group.
 
-    rid: a column of docs that numbers its rows, to be carried along; by default rows get new numbers."""
+    rid: a column of docs that numbers its rows, to be carried along; by default rows get new numbers.
+    links: also n_links, with how many other rows it links, copies included."""
     with temporary_tables():
-        return cut(_similar_groups(docs, words, percent, rid))
+        return cut(_similar_groups(docs, words, percent, rid, links))
 
 
-def _similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None) -> DataFrame:
+def _similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None, links: bool) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(shingle_rarity(docs, words))  # 2^TABLE_BITS bytes
     signed = signatures(docs, table, words, percent, rid)
     if rid is None:
@@ -270,29 +334,36 @@ def _similar_groups(docs: DataFrame, words: int, percent: int, rid: str | None)
     signed = spill_table(signed, "signatures")
     table.destroy()
     rows = signed.select("rid", "doc_id", "n", "c1", "c2")
-    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("rid", "doc_id")).alias("first"))
-    classes = spill_table(classes.select("c1", "c2", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("doc_id")), "classes")
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("rid", "doc_id")).alias("first"), F.count("*").alias("copies"))
+    classes = spill_table(classes.select("c1", "c2", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("doc_id"), "copies"), "classes")
 
     prefixes = signed.select("rid", "n", "prefix").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
     posted = prefixes.select(F.col("rid").alias("rep"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "bucket"))
     shared = posted.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     postings = spill_table(posted.join(shared, "bucket").select("bucket", "size", "rep", "n", "pos"), "postings")
     sketches = signed.select(F.col("rid").alias("rep"), F.col("n").cast("int").alias("n"), "parity")
-    labels = _link_rounds(docs, classes, postings, sketches, words, percent)
+    labels, bodies = _link_rounds(docs, classes, postings, sketches, words, percent)
 
-    grouped = rows.where("n > 0").join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
+    grouped = rows.where("n > 0").join(classes.select("c1", "c2", "rep", "copies"), ["c1", "c2"])
     if labels is not None:
         grouped = grouped.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     else:
         grouped = grouped.withColumn("root", F.col("rep"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = grouped.join(least, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("root").alias("group"))
-    alone = rows.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("group"))
+    counts, zero = [], []
+    if links:
+        n_links = F.col("copies") - 1
+        if labels is not None:
+            grouped = grouped.join(link_counts(labels, classes, bodies, words, percent), "rep", "left")
+            n_links = n_links + F.coalesce("links", F.lit(0))
+        counts, zero = [n_links.alias("n_links")], [F.lit(0).cast("long").alias("n_links")]
+    found = grouped.join(least, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("root").alias("group"), *counts)
+    alone = rows.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("group"), *zero)
     return found.unionByName(alone)
 
 
-def _link_rounds(docs: DataFrame, classes: DataFrame, postings: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Labels (id, root) of the classes that links connect, or None without links."""
+def _link_rounds(docs: DataFrame, classes: DataFrame, postings: DataFrame, sketches: DataFrame, words: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Labels (id, root) of the classes that links connect, or None without links; texts of the verified classes."""
     tried = labels = bodies = None
     leaders, members = 1, postings.select("bucket", "rep", "n", "pos")
     open_buckets = members
@@ -327,7 +398,7 @@ def _link_rounds(docs: DataFrame, classes: DataFrame, postings: DataFrame, sketc
         left = left.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket"))
         labelled = spill_table(labelled.join(left, "bucket", "left_semi"), "open")
         if labelled.isEmpty():
-            return labels
+            return labels, bodies
         members = labelled.drop("label")
         open_buckets = labelled.join(sketches.select("rep", "parity"), "rep")
         leaders *= LEADERS
@@ -348,6 +419,12 @@ def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_groups(docs, words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """The full join: op4's columns and each document's number of links."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return similar_groups(docs, words=3, percent=90, links=True).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -366,3 +443,7 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM w LEFT JOIN n ON n.rid = w.rid
 JOIN (SELECT r.a, min(v.doc_id) AS component_id FROM reach r JOIN w v ON v.rid = r.b GROUP BY r.a) m ON m.a = w.rid
 """
+
+LINKS_ORACLE = ORACLE.replace("m.component_id\n", "m.component_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links\n") + """
+LEFT JOIN (SELECT a, count(*) AS n_links FROM edges GROUP BY a) k ON k.a = w.rid
+"""

@@ -8,7 +8,7 @@ from strandlake.llm.toxicity_fst import op5_toxicity_fst
 from strandlake.llm.language_parse import op3_language_parse
 from strandlake.llm.token_counts import op7_token_counts
 from strandlake.llm.media_chunks import op2_media_chunks
-from strandlake.llm.jaccard_join import op4_jaccard_join
+from strandlake.llm.jaccard_join import op4_jaccard_join, op4_jaccard_links
 from strandlake.llm.multi_index import op1_multi_index
 from strandlake.llm.url_templates import op9_url_templates
 from strandlake.llm.quality_cnn import op6_quality_cnn
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_url_templates": op9_url_templates,
     "op1_multi_index": op1_multi_index,
     "op4_jaccard_join": op4_jaccard_join,
+    "op4_jaccard_links": op4_jaccard_links,
     "op2_media_chunks": op2_media_chunks,
     "op7_token_counts": op7_token_counts,
     "op3_language_parse": op3_language_parse,
@@ -29,5 +30,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_jaccard_join": jaccard_join.ORACLE,
+    "op4_jaccard_links": jaccard_join.LINKS_ORACLE,
     "op10_curriculum_mix": mixing.ORACLE,
 }

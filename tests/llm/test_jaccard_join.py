@@ -116,3 +116,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7_000), (7_000, 200), (5, 5)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 7000: 100}
+
+
+@pytest.mark.parametrize("seed,k,percent,cell", [(5, 3, 90, 128), (2, 5, 80, 2)])
+def test_every_link_is_counted(spark, monkeypatch, seed, k, percent, cell):
+    """Also those between texts that other links connect already."""
+    monkeypatch.setattr(j, "CELL", cell)
+    rows = _texts(seed, groups=4, copies=12, length=120)
+    rows += [(500, None), (501, "Ab"), (502, "aB"), (503, rows[0][1]), (504, rows[0][1].upper()), (None, rows[1][1])]
+    sets = [shingles(t, k) for _, t in rows]
+    count = [sum(bool(x) and a != b and 100 * len(x & y) >= percent * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+    assert max(count) >= 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = j.similar_groups(docs, k, percent, links=True).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == sorted(((i, n) for (i, _), n in zip(rows, count, strict=True)), key=str)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_force(rows, k, percent)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60)), min_size=1, max_size=6), st.lists(st.sets(st.integers(0, 60)), min_size=1, max_size=6))
+def test_intersections(left, right):
+    x, y = ([np.array(sorted(s), np.uint64) for s in side] for side in (left, right))
+    assert j.intersections(x, y).tolist() == [[len(a & b) for b in right] for a in left]
