@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,23 +44,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def active_negations(found: DataFrame, most_rounds: int = 100) -> DataFrame:
+def active_negations(found: DataFrame) -> DataFrame:
     """Negations that are in force: (negation_id, negated_id). One is unless one in force takes it back.
 
     Without chains that is one semi join's finding. Else levels are settled from the ends of the chains on,
-    one round a level. Members of cycles, which nothing settles, count as in force."""
+    one round for two of them, until a round settles nothing. Members of cycles, which nothing settles, count as in force."""
     chained = found.join(found.select(F.col("negated_id").alias("negation_id")), "negation_id", "left_semi")
     if chained.isEmpty():
         return found.select("negation_id", "negated_id")
     open_ = checkpointed(found.select("negation_id", "negated_id"))
     settled = None
-    for _ in range(most_rounds):
+    for done in itertools.count(1):
         # nothing open takes these back, so they are in force ...
         active = open_.join(open_.select(F.col("negated_id").alias("negation_id")), "negation_id", "left_anti")
         active = checkpointed(active)
         if active.isEmpty():
             break
         settled = active if settled is None else settled.unionByName(active)
+        if done % 32 == 0:  # the plan of a long chain's union stays short
+            settled = checkpointed(settled)
         # ... and what they take back isn't; what those took back may be in force again
         fallen = active.select(F.col("negated_id").alias("negation_id")).distinct()
         open_ = checkpointed(open_.join(active.select("negation_id"), "negation_id", "left_anti").join(fallen, "negation_id", "left_anti"))

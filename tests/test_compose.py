@@ -42,6 +42,14 @@ def test_negation_chain(spark):
     assert visible(compose.claims(log.frame())) == {("e", "p", "A")}
 
 
+def test_a_long_negation_chain_is_settled_to_its_head(spark):
+    depth = 206  # more than a hundred rounds
+    links = [(f"N{i:03}", f"N{i - 1:03}" if i else "A") for i in range(depth)]
+    found = spark.createDataFrame(links, "negation_id string, negated_id string").coalesce(1)
+    active = {r.negation_id for r in negation.active_negations(found).collect()}
+    assert active == {f"N{i:03}" for i in range(depth - 1, -1, -2)}
+
+
 def test_several_negations_missing_targets_and_cycles(spark):
     log = Log(spark).set("e", "name", "Alice", delta_id="A").set("e", "age", 25, delta_id="G").negate("A", "B").negate("A", "C").negate("nothing", "N").negate("Y", "X").negate("X", "Y").negate("S", "S")
     assert visible(compose.claims(log.frame())) == {("e", "age", "G")}
