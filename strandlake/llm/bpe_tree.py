@@ -1,8 +1,9 @@
 """Byte-level BPE as a monoid: encode halves, join neighbours, decode by concatenation.
 
-A segment of text is a monoid element; its value is the segment's token list. Segments up to LEAF
-characters are encoded directly. Two neighbours are joined by re-encoding a window around their
-border. The window grows until both of its ends are provably stable:
+A segment of text is a monoid element; its value is the segment's token list. The recursion ends at
+segments of LEAF characters, a few tokens each, which the library encodes; every longer text goes through
+the tree, and how often it was joined is returned with it. Two neighbours are joined by re-encoding a
+window around their border. The window grows until both of its ends are provably stable:
 
 * in text, where something other than white space is followed by white space. No alternative of the
   splitting pattern matches across such a place and none looks behind, so the matches on either side
@@ -12,7 +13,8 @@ border. The window grows until both of its ends are provably stable:
   tokens is the encoding of a match if and only if each adjacent pair encodes to itself.
 
 So a text of any length, also one without any white space, is encoded in small steps, and the result
-is the library's. Decoding concatenates the bytes of halves up the same kind of tree.
+is the library's whatever the sizes of the leaves are: both rules hold at any border. Decoding
+concatenates the bytes of halves up the same kind of tree.
 
 Defined cases: a null text counts as empty; an empty text has no tokens, and its digests are those of
 no bytes; repeated rows give repeated results; an empty table gives an empty result; columns other
@@ -22,6 +24,7 @@ than doc_id and text are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -37,14 +40,15 @@ from strandlake.llm.common import sized_batches, texts_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Characters that are encoded without splitting, and the same for the bytes of one match.
-LEAF = 8192
-LEAF_BYTES = 512
-LEAF_TOKENS = 4096
+#: Where the recursion ends: characters of a text, bytes of one match, tokens to decode.
+LEAF = 64
+LEAF_BYTES = 16
+LEAF_TOKENS = 64
 
 #: White space as the patterns' engines have it (Unicode White_Space), which Python's \s is not.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_STABLE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+#: Runs of white space: each begins at a stable place.
+_RUN = re.compile(f"[{WHITE}]+")
 
 
 def engine_pattern(pattern: str) -> str:
@@ -60,49 +64,46 @@ class TreeBpe:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(engine_pattern(pattern))
+        self.size = {i: len(token) for token, i in ranks.items()}
         self.leaf, self.leaf_bytes = leaf, leaf_bytes
+        self.joins = 0
 
     # text level
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self.bpe.encode_ordinary(text)
-        mid = len(text) // 2
-        return self.join(text, mid, self.encode(text[:mid]), self.encode(text[mid:]))
-
-    def join(self, text: str, mid: int, left: list[int], right: list[int]) -> list[int]:
-        """Tokens of text, given those of text[:mid] and text[mid:], both encoded alone."""
-        lo, hi = self.stable_before(text, mid), self.stable_from(text, mid)
-        if lo == mid or hi == mid:
-            return left + right
-        stale_left, stale_right = len(self.encode_window(text[lo:mid])), len(self.encode_window(text[mid:hi]))
-        return left[: len(left) - stale_left] + self.encode_window(text[lo:hi]) + right[stale_right:]
-
-    @staticmethod
-    def stable_before(text: str, mid: int) -> int:
-        width = 32
-        while True:
-            start = max(0, mid - width)
-            # one character more on either side, for what stands before and after a place
-            seen = text[max(0, start - 1) : mid + 1]
-            places = [m.start() + max(0, start - 1) for m in _STABLE.finditer(seen)]
-            if places:
-                return places[-1]
-            if start == 0:
-                return 0
-            width *= 2
-
-    @staticmethod
-    def stable_from(text: str, mid: int) -> int:
-        width = 32
-        while True:
-            end = min(len(text), mid + width)
-            found = _STABLE.search(text[max(0, mid - 1) : end])
-            if found:
-                return found.start() + max(0, mid - 1)
-            if end == len(text):
-                return end
-            width *= 2
+        """The text's tokens; `joins` then says how many joins of halves they took."""
+        self.joins = 0
+        return self.encode_part(text, [m.start() for m in _RUN.finditer(text)], 0, len(text))
+
+    def encode_part(self, text: str, stable: list[int], begin: int, end: int) -> list[int]:
+        """Tokens of text[begin:end] encoded alone; stable: the text's stable places, in order."""
+        if end - begin <= self.leaf:
+            return self.bpe.encode_ordinary(text[begin:end])
+        mid = (begin + end) // 2
+        left, right = self.encode_part(text, stable, begin, mid), self.encode_part(text, stable, mid, end)
+        return self.join(text, stable, begin, mid, end, left, right)
+
+    def join(self, text: str, stable: list[int], begin: int, mid: int, end: int, left: list[int], right: list[int]) -> list[int]:
+        """Tokens of text[begin:end], given those of its halves, each encoded alone."""
+        self.joins += 1
+        at = bisect.bisect_left(stable, mid)
+        if at < len(stable) and stable[at] == mid:
+            left += right
+            return left
+        lo = max(begin, stable[at - 1]) if at else begin
+        hi = min(end, stable[at]) if at < len(stable) else end
+        # the tokens that the window covers on either side
+        stale, drop = len(text[lo:mid].encode()), len(left)
+        while stale > 0:
+            drop -= 1
+            stale -= self.size[left[drop]]
+        stale, take = len(text[mid:hi].encode()), 0
+        while stale > 0:
+            stale -= self.size[right[take]]
+            take += 1
+        left[drop:] = self.encode_window(text[lo:hi])
+        left += right[take:] if take else right
+        return left
 
     def encode_window(self, text: str) -> list[int]:
         if len(text) <= self.leaf:
@@ -121,6 +122,7 @@ class TreeBpe:
         if len(data) <= self.leaf_bytes:
             return self.direct(data)
         mid = len(data) // 2
+        self.joins += 1
         return self.join_match(self.encode_match(data[:mid]), self.encode_match(data[mid:]))
 
     def compatible(self, a: int, b: int) -> bool:
@@ -167,24 +169,25 @@ def encode_column(docs: DataFrame, ranks_path: str = RANKS, pattern: str = PATTE
 
 
 def round_trip(docs: DataFrame, ranks_path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """Per document the token count and the digests of its ids and of the bytes they decode to."""
+    """Per document the token count, the digests of its ids and of the bytes they decode to, and the joins it took."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = coder(ranks_path, pattern)
         for batch in sized_batches(batches, "text"):
-            counts, of_ids, of_bytes = [], [], []
+            counts, of_ids, of_bytes, joins = [], [], [], []
             for text in texts_of(batch):
                 ids = tree.encode(text)
+                joins.append(tree.joins)
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(tree.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), pa.array(joins, pa.int64())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_joins"],
             )
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_joins bigint"
     )
 
 
