@@ -1,14 +1,13 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Input symbols are the bytes of the UTF-8 text; a byte of a word that repeats the word before it has a
-symbol of its own, so the alphabet has 512. A filter sees TAPS symbols, at every STRIDE-th byte. Its
+Input symbols are the bytes of the UTF-8 text. A filter sees TAPS bytes, at every STRIDE-th place. Its
 response is max-pooled over chunks of CHUNK bytes of which each overlaps the next by half and which
 together cover the whole document. A document's features are, for every filter, the largest and the
 mean of its chunks' responses after a rectifier; a logistic layer combines them into one probability.
 
-Filters and head are learned by Adam on the log loss, on a bounded sample: at most PER_CLASS labelled
-documents of each class, of which each gives at most TRAIN_CHUNKS chunks spread over its text. The
-classes weigh the same. Prediction reads every byte of every document, in blocks.
+Filters and head are learned by Adam on the log loss, on the whole texts of a bounded sample: at most
+PER_CLASS labelled documents of each class, which the driver holds. The classes weigh as they do among
+all labelled rows that may teach. Prediction reads every byte of every document, in blocks, also of a single long text.
 
 Defined cases: null and empty texts are one chunk of padding and get that chunk's score; without rows
 of both classes the score is the smoothed share of the class, (ones + 1) / (rows + 2); repeated rows
@@ -24,37 +23,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import fold, sized_batches, texts_of, words_in
+from strandlake.llm.common import fold, sized_batches, texts_of
 from strandlake.llm.labelled import labelled_ids, sampled_texts
 
-TAPS, STRIDE, FILTERS, CHUNK, SYMBOLS = 6, 2, 8, 512, 512
+TAPS, STRIDE, FILTERS, CHUNK, SYMBOLS = 6, 2, 16, 512, 256
 HALF = CHUNK // 2
-#: Bounds of the training sample: documents of each class, chunks of each document.
-PER_CLASS, TRAIN_CHUNKS = 1500, 6
-EPOCHS, BATCH, RATE, SEED = 14, 100, 0.02, 7
+#: Bound of the training sample: documents of each class.
+PER_CLASS = 1500
+EPOCHS, BATCH, RATE, SEED = 20, 100, 0.02, 7
+#: Halves of chunks whose responses are held at a time.
+BLOCK = 2048
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 
 
 def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each padded to a multiple of HALF (one at least), and each one's offset.
-
-    CHUNK bytes of padding follow the last, so that every window can be read."""
-    _, starts, ends, hashes, owner = words_in(texts, lower=False)
+    """Bytes of all texts, each padded by zeros to a multiple of HALF (one at least) and by HALF more, and
+    each one's offset. CHUNK zeros follow the last, so that every window can be read."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    padded = np.maximum(1, -(-lengths // HALF)) * HALF + HALF
-    offsets = np.r_[0, np.cumsum(padded)]
-    out = np.zeros(offsets[-1] + CHUNK, dtype=np.int16)
+    offsets = np.r_[0, np.cumsum(np.maximum(1, -(-lengths // HALF)) * HALF + HALF)]
+    out = np.zeros(offsets[-1] + CHUNK, dtype=np.uint8)
     for text, at in zip(texts, offsets, strict=False):
         out[at : at + len(text)] = np.frombuffer(text, dtype=np.uint8)
-    if hashes.size > 1:
-        again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])) + 1
-        shift = offsets[:-1] - (np.cumsum(lengths + 1) - lengths - 1)
-        begin, size = starts[again] + shift[owner[again]], ends[again] - starts[again]
-        if again.size:
-            first = np.cumsum(size) - size
-            at = np.arange(size.sum()) - np.repeat(first, size) + np.repeat(begin, size)
-            out[at] += 256
     return out, offsets
 
 
@@ -78,35 +68,53 @@ class Network:
             "base": np.zeros(1, np.float32),
         }
 
+    def pooled(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Largest response of each chunk and filter, the place it comes from, and each text's first chunk.
+
+        Chunk i of a text is its halves i and i + 1; a text's last half is padding and begins no chunk."""
+        per_half, halves = HALF // STRIDE, int(offsets[-1]) // HALF
+        best, place = np.empty((halves, FILTERS), np.float32), np.empty((halves, FILTERS), np.int64)
+        # windows that would reach into the next text
+        over = np.concatenate([offsets[1:] // STRIDE - back for back in range(1, (TAPS - 1) // STRIDE + 1)])
+        for lo in range(0, halves, BLOCK):
+            hi = min(halves, lo + BLOCK)
+            raw = responses(self.p["tables"], symbols[lo * HALF : hi * HALF + TAPS])
+            raw[over[(over >= lo * per_half) & (over < hi * per_half)] - lo * per_half] = -np.inf
+            raw = raw.reshape(hi - lo, per_half, FILTERS)
+            at = raw.argmax(axis=1)
+            best[lo:hi] = np.take_along_axis(raw, at[:, None, :], axis=1)[:, 0]
+            place[lo:hi] = at + (np.arange(lo, hi) * per_half)[:, None]
+        begins = np.ones(halves, bool)
+        begins[offsets[1:] // HALF - 1] = False
+        first = np.flatnonzero(begins)
+        second = best[first + 1] > best[first]
+        counts = np.diff(offsets) // HALF - 1
+        return np.where(second, best[first + 1], best[first]), np.where(second, place[first + 1], place[first]), np.cumsum(counts) - counts
+
+    def logits(self, responses: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Log-odds of each text, with its features (largest and mean of the rectified responses) and its chunks."""
+        active = np.maximum(responses + self.p["bias"], 0)
+        count = np.diff(np.r_[starts, len(active)])[:, None].astype(np.float64)
+        # sums in double precision: a text's score has the same bits in any block
+        most = np.maximum.reduceat(active, starts, axis=0).astype(np.float64)
+        mean = np.add.reduceat(active.astype(np.float64), starts, axis=0) / count
+        return (most * self.p["most"] + mean * self.p["mean"]).sum(axis=1) + self.p["base"][0], most, mean, count
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.empty(0)
-        symbols, offsets = symbols_of(texts)
-        per_half = HALF // STRIDE
-        raw = responses(self.p["tables"], symbols[: offsets[-1] + TAPS])
-        for back in range(1, (TAPS - 1) // STRIDE + 1):  # windows that would reach into the next text
-            raw[offsets[1:] // STRIDE - back] = -np.inf
-        halves = raw.reshape(-1, per_half, FILTERS).max(axis=1)
-        firsts, lasts = offsets[:-1] // HALF, offsets[1:] // HALF - 1
-        # chunk i of a document is its halves i and i + 1; the last half of each is padding
-        chunks = np.maximum(np.maximum(halves[:-1], halves[1:]) + self.p["bias"], 0)
-        count = (lasts - firsts).astype(np.float32)
-        bounds = np.stack([firsts, lasts], 1).ravel()
-        most = np.maximum.reduceat(chunks, bounds[:-1] if bounds[-1] >= len(chunks) else bounds, axis=0)[::2]
-        total = np.add.reduceat(chunks.astype(np.float64), bounds[:-1] if bounds[-1] >= len(chunks) else bounds, axis=0)[::2]
-        # row sums in double precision: a text's score has the same bits in any block
-        logit = (most.astype(np.float64) * self.p["most"] + (total / count[:, None]) * self.p["mean"]).sum(axis=1) + self.p["base"][0]
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-
-    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Network:
-        """x: documents x chunks x (CHUNK + TAPS) symbols; mask: which chunks there are."""
+        found, _, starts = self.pooled(*symbols_of(texts))
+        return 1 / (1 + np.exp(-np.clip(self.logits(found, starts)[0], -30, 30)))
+
+    def fit(self, texts: list[bytes], y: np.ndarray, share: float = 0.5, epochs: int = EPOCHS) -> Network:
+        """share: the weight of class 1 among both."""
         draw, m, v, step = np.random.default_rng(SEED), {}, {}, 0
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+        weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
         for _ in range(epochs):
             order = draw.permutation(len(y))
             for lo in range(0, len(y), BATCH):
                 pick = order[lo : lo + BATCH]
-                grads = self.gradients(x[pick], mask[pick], y[pick], weight[pick])
+                grads = self.gradients([texts[i] for i in pick], y[pick], weight[pick])
                 step += 1
                 for k, g in grads.items():
                     m[k] = 0.9 * m.get(k, 0) + 0.1 * g
@@ -114,70 +122,42 @@ class Network:
                     self.p[k] -= (RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return self
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        d, c, _ = x.shape
-        flat = x.reshape(d * c, -1)
-        places = CHUNK // STRIDE
-        raw = np.zeros((d * c, places, FILTERS), np.float32)
-        for t in range(TAPS):
-            raw += np.take(self.p["tables"][t], flat[:, t : t + CHUNK : STRIDE], axis=0)
-        where = raw.argmax(axis=1)
-        pooled = np.take_along_axis(raw, where[:, None, :], axis=1)[:, 0].reshape(d, c, FILTERS) + self.p["bias"]
-        active = np.maximum(pooled, 0) * mask[:, :, None]
-        best, count = active.argmax(axis=1), mask.sum(axis=1)[:, None]
-        most, mean = active.max(axis=1), active.sum(axis=1) / count
-        logit = most @ self.p["most"] + mean @ self.p["mean"] + self.p["base"][0]
-        slope = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight / len(y)).astype(np.float32)
-        back = np.repeat((slope[:, None] * self.p["mean"] / count)[:, None, :], c, axis=1)
-        np.put_along_axis(back, best[:, None, :], np.take_along_axis(back, best[:, None, :], 1) + (slope[:, None] * self.p["most"])[:, None, :], 1)
-        back *= (pooled > 0) * mask[:, :, None]
-        tables = np.zeros(TAPS * SYMBOLS * FILTERS, np.float64)
-        values, rows = back.reshape(d * c, FILTERS), np.arange(d * c)[:, None]
+    def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        symbols, offsets = symbols_of(texts)
+        found, place, starts = self.pooled(symbols, offsets)
+        logit, most, mean, count = self.logits(found, starts)
+        slope = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight / len(y))[:, None]
+        owner = np.repeat(np.arange(len(texts)), count[:, 0].astype(int))
+        back = (slope * self.p["mean"] / count)[owner]
+        ends = np.r_[starts[1:], len(found)]
+        best = np.stack([found[lo:hi].argmax(axis=0) + lo for lo, hi in zip(starts, ends, strict=True)])
+        np.put_along_axis(back, best, np.take_along_axis(back, best, 0) + slope * self.p["most"], 0)
+        back *= found + self.p["bias"] > 0
+        tables = np.zeros(TAPS * SYMBOLS * FILTERS)
         for t in range(TAPS):
-            seen = flat[rows, where * STRIDE + t].astype(np.int64)
-            index = (t * SYMBOLS + seen) * FILTERS + np.arange(FILTERS)
-            tables += np.bincount(index.ravel(), values.ravel(), tables.size)
+            index = (t * SYMBOLS + symbols[place * STRIDE + t].astype(np.int64)) * FILTERS + np.arange(FILTERS)
+            tables += np.bincount(index.ravel(), back.ravel(), tables.size)
         decay = 1e-5
         return {
-            "tables": tables.reshape(self.p["tables"].shape).astype(np.float32) + decay * self.p["tables"],
-            "bias": back.sum(axis=(0, 1)),
-            "most": slope @ most + decay * self.p["most"],
-            "mean": slope @ mean + decay * self.p["mean"],
-            "base": slope.sum(keepdims=True),
+            "tables": tables.reshape(self.p["tables"].shape) + decay * self.p["tables"],
+            "bias": back.sum(axis=0),
+            "most": (slope * most).sum(axis=0) + decay * self.p["most"],
+            "mean": (slope * mean).sum(axis=0) + decay * self.p["mean"],
+            "base": slope.sum(keepdims=True)[0],
         }
 
 
-def training_chunks(text: bytes) -> np.ndarray:
-    """At most TRAIN_CHUNKS of the text's chunks, evenly spread, as symbols with TAPS more at the end."""
-    symbols, offsets = symbols_of([text])
-    count = int(offsets[1]) // HALF - 1
-    picked = np.unique(np.linspace(0, count - 1, min(count, TRAIN_CHUNKS)).round().astype(int))
-    return np.stack([symbols[i * HALF : i * HALF + CHUNK + TAPS] for i in picked])
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS):
     """A scoring function over lists of encoded texts, learned from the bounded sample."""
-    classes = labelled_ids(docs, labels, label, per_class, FOLDS, HELD_OUT)
+    classes, share = labelled_ids(docs, labels, label, per_class, FOLDS, HELD_OUT)
     y = sorted(classes.items())
     ones = sum(v for _, v in y)
     if ones in (0, len(y)):
-        share = (ones + 1) / (len(y) + 2)
-        return lambda texts: np.full(len(texts), share)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, "text"):
-            chunks = [training_chunks(t.encode()) for t in texts_of(batch)]
-            data = pa.array([c.tobytes() for c in chunks], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["doc_id", "data"])
-
-    rows = sampled_texts(docs, classes).mapInArrow(cut, "doc_id bigint, data binary").collect()
-    rows = sorted({(r.doc_id, bytes(r.data)) for r in rows})
-    x = np.zeros((len(rows), TRAIN_CHUNKS, CHUNK + TAPS), np.int16)
-    mask = np.zeros((len(rows), TRAIN_CHUNKS), np.float32)
-    for i, (_, data) in enumerate(rows):
-        chunks = np.frombuffer(data, np.int16).reshape(-1, CHUNK + TAPS)
-        x[i, : len(chunks)], mask[i, : len(chunks)] = chunks, 1
-    return Network().fit(x, mask, np.array([classes[i] for i, _ in rows], float)).score
+        same = (ones + 1) / (len(y) + 2)
+        return lambda texts: np.full(len(texts), same)
+
+    rows = sorted({(r.doc_id, r.text or "") for r in sampled_texts(docs, classes).collect()})
+    return Network().fit([t.encode() for _, t in rows], np.array([classes[i] for i, _ in rows], float), share).score
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -200,7 +200,7 @@ def shared_stems(learned: Iterable[str], clean: Counter, least: int = 5, words:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Scorer:
-    classes = labelled_ids(docs, labels, label, per_class, FOLDS, HELD_OUT)
+    classes, _ = labelled_ids(docs, labels, label, per_class, FOLDS, HELD_OUT)
     toxic = sum(classes.values())
     clean = len(classes) - toxic
     if not toxic or not clean:

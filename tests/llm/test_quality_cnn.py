@@ -28,10 +28,51 @@ def test_pooling_covers_the_whole_text():
     assert np.isclose(net.score([text])[0], 1 / (1 + np.exp(-logit)), atol=1e-5)
 
 
-def test_repeated_words_have_their_own_symbols():
-    symbols, offsets = q.symbols_of([b"ab ab c", b"c c"])
-    assert list(symbols[:7]) == [97, 98, 32, 353, 354, 32, 99]
-    assert list(symbols[offsets[1] : offsets[1] + 3]) == [99, 32, 355]
+def test_symbols_are_the_bytes():
+    symbols, offsets = q.symbols_of([b"ab ab", "\xe9".encode()])
+    assert list(symbols[:6]) == [97, 98, 32, 97, 98, 0] and list(symbols[offsets[1] : offsets[1] + 3]) == [195, 169, 0]
+    assert list(np.diff(offsets)) == [2 * q.HALF] * 2 and symbols.size == offsets[-1] + q.CHUNK
+
+
+def test_gradients_equal_differences(monkeypatch):
+    """Of the log loss, by small steps of single parameters; texts of one and of many chunks."""
+    net, draw = q.Network(), np.random.default_rng(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    monkeypatch.setattr(np, "float32", np.float64)  # differences need more digits
+    texts = [bytes(draw.integers(97, 123, n, dtype=np.uint8)) for n in (5, 300, 2000)]
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        found, _, starts = net.pooled(*q.symbols_of(texts))
+        z = net.logits(found, starts)[0]
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).mean())
+
+    grads, step = net.gradients(texts, y, weight), 1e-6
+    for name in net.p:
+        flat, found = net.p[name].ravel(), np.ravel(grads[name])
+        at = np.argsort(-np.abs(found))[:5]
+        for i in at:
+            kept = flat[i]
+            flat[i] = kept + step
+            up = loss()
+            flat[i] = kept - step
+            down = loss()
+            flat[i] = kept
+            assert np.isclose((up - down) / (2 * step), found[i], rtol=1e-3, atol=1e-4), (name, i)
+
+
+def test_blocks_of_one_long_text_agree(monkeypatch):
+    net, text = q.Network(), bytes(np.random.default_rng(2).integers(33, 120, 30_000, dtype=np.uint8))
+    whole = net.score([text, b"x"])
+    monkeypatch.setattr(q, "BLOCK", 7)
+    assert (net.score([text, b"x"]) == whole).all()
+
+
+def test_repeated_rows_and_no_labels(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = q.score_documents(docs, none).collect()
+    assert len(rows) == 3 and {r.score for r in rows} == {0.5}
 
 
 def test_learns_and_keeps_columns(spark):
