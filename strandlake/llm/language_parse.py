@@ -12,13 +12,15 @@ separator that never repeats. Whole texts are parsed, in pieces of PIECE symbols
 that pieces of many texts advance in step, one array operation per symbol; a text's phrase count is the
 sum over its pieces.
 
-Training: at most PER_LANGUAGE documents of each language, first by a hash of their ids, of which as
-many are used as fit in TRAIN_SYMBOLS symbols; languages with less text are compared by the same
-normalisation.
-
-Defined cases: null texts and texts without a letter are `und` with score 0; if nothing is labelled
-everything is; labels that are null or blank don't count; repeated rows give repeated results; an empty
-table gives an empty result; other columns are ignored.
+Training: the whole texts of at most PER_LANGUAGE documents of each language, first by a hash of their ids.
+More than MOST_LANGUAGES labelled languages are an error, not a cut: every task holds all automata, and the
+parameter says for how many there is room. Passages of other languages are taken out of the training text
+of each language that has two documents or more. Automata are built once, on the driver, and broadcast; their
+transitions are kept in hash tables, so their size follows the text, not the alphabet.
+
+Defined cases: null texts and texts without a letter are `und` with score 0; so is every text if nothing is
+labelled; labels that are null or blank don't count, others are taken as they are; repeated rows give
+repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +38,8 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import fold, sized_batches, texts_of
 
-PER_LANGUAGE, TRAIN_SYMBOLS = 60, 60_000
-#: Languages are few; this bounds the models that every task holds.
-MOST_LANGUAGES = 100
+#: Bounds of the training sample: documents of each language, and languages.
+PER_LANGUAGE, MOST_LANGUAGES = 24, 400
 PIECE = 256
 FOLDS, HELD_OUT = 4, 2
 
@@ -64,7 +65,9 @@ def folded(text: str) -> np.ndarray:
 
 
 class SuffixAutomaton:
-    """Accepts the substrings of a symbol sequence; step[state, symbol] is the next state or -1."""
+    """Accepts the substrings of a symbol sequence. States are numbered from 0, the empty string.
+
+    Transitions stand in a hash table by state * alphabet + symbol, at the first free place from the key's own on."""
 
     def __init__(self, symbols: np.ndarray, alphabet: int):
         goes, link, length, last = [{}], [-1], [0], 0
@@ -91,10 +94,40 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = clone
             last = new
-        self.step = np.full((len(goes), alphabet), -1, dtype=np.int32)
-        for state, row in enumerate(goes):
-            for s, to in row.items():
-                self.step[state, s] = to
+        self.alphabet = alphabet
+        self.first = np.full(alphabet, -1, dtype=np.int32)  # transitions of state 0
+        for s, to in goes[0].items():
+            self.first[s] = to
+        sizes = np.array([len(row) for row in goes], dtype=np.int64)
+        keys = np.fromiter((s for row in goes for s in row), np.int64, int(sizes.sum())) + np.repeat(np.arange(len(goes)), sizes) * alphabet
+        ends = np.fromiter((to for row in goes for to in row.values()), np.int32, keys.size)
+        self.bits = max(4, int(3 * keys.size).bit_length())
+        self.keys, self.ends = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
+        at = self._place(keys)
+        while keys.size:
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several at one place, one stays
+            there = self.keys[at] == keys
+            self.ends[at[there]] = ends[there]
+            keys, ends, at = keys[~there], ends[~there], (at[~there] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The next state of each, or -1."""
+        keys = states.astype(np.int64) * self.alphabet + symbols
+        at = self._place(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.ends[at], -1)
+        open_ = np.flatnonzero((seen != keys) & (seen >= 0))
+        while open_.size:
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[at[open_]]
+            found = seen == keys[open_]
+            out[open_[found]] = self.ends[at[open_[found]]]
+            open_ = open_[~found & (seen >= 0)]
+        return out
 
 
 class Parser:
@@ -102,29 +135,28 @@ class Parser:
 
     def __init__(self, training: dict[str, str]):
         self.languages = sorted(training)
-        texts = {lang: folded(training[lang])[:TRAIN_SYMBOLS] for lang in self.languages}
+        texts = {lang: folded(training[lang]) for lang in self.languages}
         letters = np.unique(np.concatenate([np.zeros(1, np.uint32), *texts.values()]))
         self.letters, self.unknown = letters, len(letters)
-        self.steps = [SuffixAutomaton(np.searchsorted(letters, texts[x]), len(letters) + 1).step for x in self.languages]
+        self.automata = [SuffixAutomaton(np.searchsorted(letters, texts[x]), len(letters) + 1) for x in self.languages]
         self.bits = np.array([np.log2(max(2, len(texts[x]))) for x in self.languages])
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
         return np.where(self.letters[at] == points, at, self.unknown)
 
-    def phrases(self, step: np.ndarray, columns: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    def phrases(self, automaton: SuffixAutomaton, columns: np.ndarray, alive: np.ndarray) -> np.ndarray:
         """Phrase counts of pieces in step. columns: symbols by place and piece, longest pieces first;
         alive: how many pieces reach each place."""
         state = np.zeros(columns.shape[1], dtype=np.int32)
         count = np.ones(columns.shape[1], dtype=np.int32)
-        flat, width, first = step.ravel(), step.shape[1], step[0]
         for row, n in zip(columns, alive, strict=True):
             symbols = row[:n]
-            to = flat[state[:n] * width + symbols]
+            to = automaton.step(state[:n], symbols)
             ended = np.flatnonzero(to < 0)
             # a phrase ends before this symbol, which begins the next one (or is unknown: a phrase alone)
             count[ended] += state[ended] > 0
-            begun = first[symbols[ended]]
+            begun = automaton.first[symbols[ended]]
             count[ended] += begun < 0
             to[ended] = np.maximum(begun, 0)
             state[:n] = to
@@ -149,8 +181,8 @@ class Parser:
         places = np.arange(length[0])
         columns = data[np.minimum(begin[None, :] + places[:, None], data.size - 1)]
         alive = np.searchsorted(-length, -places, side="left")
-        for j, step in enumerate(self.steps):
-            total = np.bincount(owner, self.phrases(step, columns, alive), minlength=len(texts))
+        for j, automaton in enumerate(self.automata):
+            total = np.bincount(owner, self.phrases(automaton, columns, alive), minlength=len(texts))
             out[:, j] = total * self.bits[j] / sizes
         return out, lettered
 
@@ -167,69 +199,63 @@ class Parser:
         return names, score
 
 
-@lru_cache(maxsize=1)
-def _parser(training: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(dict(training))
-
-
 def cleaned(training: dict[str, list[str]], size: int = PIECE) -> dict[str, str]:
     """Training text without passages of other languages, which documents of any language may hold.
 
     Documents are dealt into two halves; each half's pieces are parsed by automata of the other, and stay if
-    their own language explains them best. A language that would lose most of its pieces keeps all."""
+    their own language explains them best. A language of one document takes part as a rival and keeps all, as
+    does one that would lose most of its pieces."""
     whole = {lang: "\n".join(texts) for lang, texts in training.items()}
-    if len(training) < 2 or any(len(texts) < 2 for texts in training.values()):
+    several = [lang for lang, texts in training.items() if len(texts) > 1]
+    if len(training) < 2:
         return whole
-    kept: dict[str, list[str]] = {lang: [] for lang in training}
-    total = dict.fromkeys(training, 0)
+    kept: dict[str, list[str]] = {lang: [] for lang in several}
+    total = dict.fromkeys(several, 0)
     for half in (0, 1):
-        parser = Parser({lang: "\n".join(texts[1 - half :: 2]) for lang, texts in training.items()})
-        for lang, texts in training.items():
-            text = "\n".join(texts[half::2])
+        parser = Parser({lang: "\n".join(texts[1 - half :: 2] if lang in kept else texts) for lang, texts in training.items()})
+        for lang in several:
+            text = "\n".join(training[lang][half::2])
             pieces = [text[i : i + size] for i in range(0, len(text), size)]
             total[lang] += len(pieces)
             names, _ = parser.predict(pieces)
             kept[lang] += [p for p, name in zip(pieces, names, strict=True) if name == lang]
-    return {lang: "\n".join(kept[lang]) if 2 * len(kept[lang]) > total[lang] else whole[lang] for lang in training}
+    return whole | {lang: "\n".join(kept[lang]) for lang in several if 2 * len(kept[lang]) > total[lang]}
 
 
-def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, str]:
+def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> dict[str, str]:
     """Training text by language. Ids are chosen first, from narrow rows; then only their texts are read."""
     turn = W.partitionBy("lang").orderBy("turn", "doc_id")
     chosen = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim("lang").alias("lang"))
-        .where("doc_id IS NOT NULL AND lang <> ''")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
+        .where("doc_id IS NOT NULL AND trim(lang) <> ''")
         .where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+        .distinct()
         .withColumn("turn", F.md5(F.col("doc_id").cast("string").cast("binary")))
         .withColumn("nth", F.row_number().over(turn))
         .where(F.col("nth") <= per_language)
-        .orderBy("nth", "lang")
-        .limit(per_language * MOST_LANGUAGES)
-        .collect()
+        .select("doc_id", "lang", "nth")
     )
-    ids = sorted({r.doc_id for r in chosen})
-    if not ids:
+    rows = chosen.limit(per_language * most_languages + 1).collect()
+    if len({r.lang for r in rows}) > most_languages:
+        raise ValueError(f"more than {most_languages} languages are labelled")
+    if not rows:
         return {}
-    # a document gives at most a share of the symbols; the longest texts needn't cross to the driver whole
-    part = F.substring("text", 1, TRAIN_SYMBOLS // 4)
-    rows = docs.where(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("long").alias("doc_id"), F.trim("lang").alias("lang"), part.alias("text")).collect()
-    texts = {(r.doc_id, r.lang): r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.lang or "", r.text or ""))}
+    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.lang, r.nth) for r in rows], "doc_id long, lang string, nth int")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(wanted), ["doc_id", "lang"])  # the sample's bound
     out: dict[str, list[str]] = {}
-    for r in chosen:
-        text = texts.get((r.doc_id, r.lang))
-        if text and sum(map(len, out.setdefault(r.lang, []))) < TRAIN_SYMBOLS:
-            out[r.lang].append(text)
-    return cleaned({lang: parts for lang, parts in out.items() if parts})
+    for r in sorted(found.collect(), key=lambda r: (r.lang, r.nth, r.text or "")):
+        if r.text:
+            out.setdefault(r.lang, []).append(r.text)
+    return cleaned(out)
 
 
 def identify(docs: DataFrame, training: dict[str, str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of docs."""
     training = training_texts(docs) if training is None else training
-    pairs = tuple(sorted(training.items()))
+    shared = docs.sparkSession.sparkContext.broadcast(Parser(training))  # as large as the sample's bound allows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # built by the worker from the bounded training text, which is smaller to send than the automata
-        parser = _parser(pairs)
+        parser = shared.value
         for batch in sized_batches(batches, "text", 1 << 20):
             names, score = parser.predict(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])

@@ -14,11 +14,23 @@ from strandlake.llm import language_parse as lp
 @given(st.text("abc", min_size=1, max_size=40), st.text("abcd", max_size=6))
 def test_automaton_accepts_substrings(text, probe):
     to = {c: i for i, c in enumerate("abcd")}
-    step = lp.SuffixAutomaton(np.array([to[c] for c in text]), 4).step
+    automaton = lp.SuffixAutomaton(np.array([to[c] for c in text]), 4)
     state = 0
     for c in probe:
-        state = step[state, to[c]] if state >= 0 else -1
+        state = int(automaton.step(np.array([state]), np.array([to[c]]))[0]) if state >= 0 else -1
     assert (state >= 0) == (probe in text)
+    assert all((automaton.first[to[c]] >= 0) == (c in text) for c in to)
+
+
+def test_large_alphabets_take_no_dense_table():
+    draw = np.random.default_rng(1)
+    symbols = draw.integers(0, 20_000, 30_000)
+    automaton = lp.SuffixAutomaton(symbols, 20_001)
+    assert automaton.keys.size < 20 * symbols.size
+    state = np.zeros(1, np.int32)
+    for s in symbols[500:560]:
+        state = automaton.step(state, np.array([s]))
+        assert state[0] > 0
 
 
 def greedy(train: str, text: str) -> int:
@@ -82,3 +94,18 @@ def test_foreign_passages_leave_the_training_text():
     count = lambda s, words: sum(w in words for w in s.split())
     assert count(found["cc"], WORDS["aa"]) < 60 and count(found["cc"], WORDS["cc"]) > 1000
     assert lp.cleaned({"aa": ["x y"], "bb": ["z"]}) == {"aa": "x y", "bb": "z"}
+    # a language of one document doesn't switch the others' cleaning off
+    found = lp.cleaned(training | {"dd": ["zz yy xx"]})
+    assert count(found["cc"], WORDS["aa"]) < 60 and found["dd"] == "zz yy xx"
+
+
+def test_labels_are_taken_as_they_are_and_too_many_are_an_error(spark):
+    rows = [(i, f"{w} {w}", f" {w}", "s", 0.0) for i, w in enumerate(["house", "maison"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")
+    assert {r.lang_pred for r in lp.identify(docs).collect()} == {" house", " maison"}
+    try:
+        lp.training_texts(docs, most_languages=1)
+    except ValueError as e:
+        assert "languages" in str(e)
+    else:
+        raise AssertionError("silently cut")
