@@ -9,7 +9,8 @@ URLs that no rule judges get the verdict of their template:
 1. Per host, paths form a tree by segment. A segment is variable where it looks like an id (digits make up
    half of it but for a file extension, or it is long hex), or where its place under one parent has many values: at least
    MIN_VALUES, each with less than MAX_REPEATS rows on average. Variable segments become `*`, level by level,
-   so that a parent is generalised before its children are counted. Segments beyond DEPTH become `**`.
+   so that a parent is generalised before its children are counted. The tree has DEPTH + 1 levels: what follows
+   the first DEPTH segments is one segment, whole.
 2. From the host down, the branches of one parent merge when they are statistically similar: each has too
    little labelled evidence to be told from its parent (fewer than MIN_LABELLED labelled rows, or a blocked
    share within Z standard errors of the parent's). Branches with less than that evidence go on as one subtree.
@@ -18,7 +19,9 @@ URLs that no rule judges get the verdict of their template:
    labelled rows it is thus the parent's. A template whose purity is above LIMIT is rejected.
 
 The labels are the rules' own verdicts on the URLs they fit. Statistics are sums by (host, template), so a
-host with a third of all rows is summed before it is shuffled; templates, not URLs, meet at a parent.
+host with a third of all rows is summed before it is shuffled; templates, not URLs, meet at a parent. URLs
+get the verdict of a frequent segment list by broadcast: there are fewer than FREQUENT lists that each have
+more than one row in FREQUENT. The others join by exchange, and none of them is larger than that share.
 
 Defined cases: a null URL or one without `://` has an empty host and path and forms its own template;
 repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -37,6 +40,7 @@ DEPTH = 6
 MIN_VALUES, MAX_REPEATS = 20, 3.0
 MIN_LABELLED, Z = 5, 2.0
 PRIOR, LIMIT = 5.0, 0.8
+FREQUENT = 10_000
 
 
 def host_of(url: Column) -> Column:
@@ -64,28 +68,33 @@ def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.select("page_id", "host", "path", rule.alias("rule"), ruling.alias("ruling"))
 
 
+def levels(parts: Column) -> Column:
+    """Segments by level of the tree: those beyond DEPTH are one."""
+    rest = F.array_join(F.slice(parts, DEPTH + 1, F.greatest(F.size(parts) - DEPTH, F.lit(0))), "/")
+    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(rest))).otherwise(parts)
+
+
 def segments(path: Column) -> Column:
-    """At most DEPTH segments, what is beyond as one `**`; what looks like an id is `*`."""
+    """The path's segments by level; what looks like an id is `*`."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     stem = lambda s: F.regexp_replace(s, "\\.[A-Za-z][A-Za-z0-9]{0,4}$", "")  # noqa: E731  without a file extension
     digits = lambda s: F.length(F.regexp_replace(s, "[^0-9]", ""))
     variable = lambda s: (digits(s) > 0) & ((2 * digits(stem(s)) >= F.length(stem(s))) | stem(s).rlike("^[0-9a-fA-F-]{12,}$"))
-    plain = F.transform(parts, lambda s: F.when(variable(s), F.lit("*")).otherwise(s))
-    return F.when(F.size(plain) > DEPTH, F.concat(F.slice(plain, 1, DEPTH), F.array(F.lit("**")))).otherwise(plain)
+    return levels(F.transform(parts, lambda s: F.when(variable(s), F.lit("*")).otherwise(s)))
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """(host, segs, template): each distinct segment list of a host, and its generalised form.
+    """(host, segs, n, template): each distinct segment list of a host, how many rows have it, and its generalised form.
 
     Level by level: a place with many values under one generalised parent becomes a wildcard there."""
     paths = rows.groupBy("host", segments(F.col("path")).alias("segs")).agg(F.count("*").alias("n")).withColumn("done", F.lit(""))
     paths = cut(paths)
     deepest = paths.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(min(DEPTH, deepest)):
+    for level in range(deepest):
         here = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
         places = paths.withColumn("here", here).groupBy("host", "done", "here").agg(F.sum("n").alias("n"))
         wide = (
-            places.where("here NOT IN ('', '*', '**')")
+            places.where("here NOT IN ('', '*')")
             .groupBy("host", "done")
             .agg(F.count("*").alias("values"), F.sum("n").alias("n"))
             .where((F.col("values") >= MIN_VALUES) & (F.col("n") < MAX_REPEATS * F.col("values")))
@@ -97,8 +106,7 @@ def templates(rows: DataFrame) -> DataFrame:
             .withColumn("done", F.concat("done", step)).drop("here", "wide")
         )
         paths = cut(paths)
-    tail = F.when(F.size("segs") > DEPTH, F.lit("/**")).otherwise(F.lit(""))
-    return paths.select("host", "segs", F.concat("done", tail).alias("template"))
+    return paths.select("host", "segs", "n", F.col("done").alias("template"))
 
 
 def merged_purity(rows: DataFrame) -> DataFrame:
@@ -110,7 +118,7 @@ def merged_purity(rows: DataFrame) -> DataFrame:
     base = ((blocked or 0) + 1.0) / ((labelled or 0) + 2.0)
     hosts = rows.groupBy("host").agg(((F.sum("blocked") + PRIOR * base) / (F.sum("labelled") + PRIOR)).alias("purity"))
     # a template's own place ends its segments
-    segs = F.concat(F.filter(F.split("template", "/"), lambda s: s != ""), F.array(F.lit("")))
+    segs = F.concat(levels(F.filter(F.split("template", "/"), lambda s: s != "")), F.array(F.lit("")))
     found = cut(rows.join(hosts, "host").select("host", "template", segs.alias("segs"), "labelled", "blocked", F.lit("").alias("done"), "purity"))
     deepest = found.agg(F.max(F.size("segs"))).first()[0] or 0
     for level in range(deepest):
@@ -147,12 +155,16 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every row."""
     rows = parsed(pages, rules).withColumn("segs", segments(F.col("path")))
     tree = templates(rows)
-    sums = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("ruling").alias("labelled"), F.count_if(F.col("ruling") == "block").alias("blocked"))
+    sums = rows.groupBy("host", "segs").agg(F.count("ruling").alias("labelled"), F.count_if(F.col("ruling") == "block").alias("blocked"))
     by_template = sums.join(tree, ["host", "segs"]).groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
     by_template = cut(by_template)
-    found = tree.join(merged_purity(by_template), ["host", "template"]).select("host", "segs", "template", "purity")
+    found = cut(tree.join(merged_purity(by_template), ["host", "template"]).select("host", "segs", "n", "template", "purity"))
+    most = (found.agg(F.sum("n")).first()[0] or 0) / FREQUENT
+    frequent = found.where(F.col("n") > most).drop("n")  # fewer than FREQUENT rows
+    marked = rows.join(F.broadcast(frequent), ["host", "segs"], "left")
+    rare = marked.where("template IS NULL").drop("template", "purity").join(found.where(F.col("n") <= most).drop("n"), ["host", "segs"])
     learned = F.when(F.col("purity") > LIMIT, "block").otherwise("allow")
-    return rows.join(found, ["host", "segs"]).select(
+    return marked.where("template IS NOT NULL").unionByName(rare).select(
         "page_id", "host", "path", "rule", F.coalesce("ruling", learned).alias("verdict"), "template", "purity"
     )
 

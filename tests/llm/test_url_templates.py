@@ -1,6 +1,9 @@
-"""Parsing and rules against plain Python; generalised, merged and rejected templates."""
+"""Parsing, rules, templates, merges, purity and verdicts against plain Python."""
 
+import math
+import random
 import re
+from collections import defaultdict
 
 from strandlake.llm import url_templates as u
 
@@ -79,3 +82,107 @@ def test_branches_without_evidence_follow_similar_siblings_and_parents(spark):
     # equal shares above don't hide what tells the branches below apart
     by_template = {r.template: r.purity for r in out.values() if r.host == "mix.io" and r.rule}
     assert min(by_template["/a/x/*"], by_template["/b/y/*"]) > 0.8 and max(by_template["/a/y/*"], by_template["/b/x/*"]) < 0.2
+
+
+def plain_segments(path):
+    def one(s):
+        stem = re.sub(r"\.[A-Za-z][A-Za-z0-9]{0,4}$", "", s)
+        digits = sum(c in "0123456789" for c in s), sum(c in "0123456789" for c in stem)
+        return "*" if digits[0] and (2 * digits[1] >= len(stem) or re.search("^[0-9a-fA-F-]{12,}$", stem)) else s
+
+    parts = [one(s) for s in path.split("/") if s]
+    return (*parts[: u.DEPTH], "/".join(parts[u.DEPTH :])) if len(parts) > u.DEPTH else tuple(parts)
+
+
+def brute_force(urls, rules):
+    """(template, purity, verdict) of every URL, by walking each host's tree in plain Python."""
+    rows = []
+    for url in urls:
+        host, path = plain(url)
+        fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        rule = max(fits, key=lambda r: (len(r[0]), len(r[1])), default=None)
+        rows.append((host, plain_segments(path), rule and rule[2]))
+
+    def generalise(group, level):
+        """{segments: template} of one parent's rows."""
+        here = defaultdict(list)
+        for segs, n in group:
+            if len(segs) > level:
+                here[segs[level]].append((segs, n))
+        values = {v: sum(n for _, n in g) for v, g in here.items() if v != "*"}
+        wide = len(values) >= u.MIN_VALUES and sum(values.values()) < u.MAX_REPEATS * len(values)
+        out = {segs: () for segs, _ in group if len(segs) <= level}
+        children = defaultdict(list)
+        for v, g in here.items():
+            children["*" if wide else v] += g
+        for v, g in children.items():
+            out |= {segs: (v, *rest) for segs, rest in generalise(g, level + 1).items()}
+        return out
+
+    counts = defaultdict(lambda: defaultdict(int))
+    for host, segs, _ in rows:
+        counts[host][segs] += 1
+    template = {(h, segs): t for h, c in counts.items() for segs, t in generalise(list(c.items()), 0).items()}
+    evidence = defaultdict(lambda: [0, 0])
+    for host, segs, ruling in rows:
+        if ruling:
+            evidence[host, template[host, segs]][0] += 1
+            evidence[host, template[host, segs]][1] += ruling == "block"
+    labelled, blocked = (sum(e[i] for e in evidence.values()) for i in (0, 1))
+    base = (blocked + 1) / (labelled + 2)
+    purity = {}
+
+    def walk(host, group, level, above):
+        """group: templates below one place, above: its purity."""
+        branches = defaultdict(list)
+        for t in group:
+            if len(t) >= level:
+                branches[t[level] if len(t) > level else ""].append(t)
+        sums = {v: [sum(evidence[host, t][i] for t in g) for i in (0, 1)] for v, g in branches.items()}
+        all_l, all_b = (sum(x[i] for x in sums.values()) for i in (0, 1))
+        share = all_b / all_l if all_l else 0.0
+        few = {v for v, (n, _) in sums.items() if n < u.MIN_LABELLED}
+        merged = {v for v, (n, b) in sums.items() if v in few or abs(b / n - share) <= u.Z * (math.sqrt(share * (1 - share) / n) + 1e-9)}
+        down = defaultdict(list)
+        for v, g in branches.items():
+            group_l, group_b = (sum(sums[x][i] for x in (merged if v in merged else [v])) for i in (0, 1))
+            new = above if level and group_l == all_l else (group_b + u.PRIOR * above) / (group_l + u.PRIOR)
+            for t in g:
+                purity[host, t] = new
+            down["?" if v in few else v, new] += g
+        for (_, new), g in down.items():
+            if any(len(t) > level for t in g):
+                walk(host, [t for t in g if len(t) > level], level + 1, new)
+
+    for host in counts:
+        mine = sorted({template[host, segs] for segs in counts[host]})
+        n, b = (sum(evidence[host, t][i] for t in mine) for i in (0, 1))
+        walk(host, mine, 0, (b + u.PRIOR * base) / (n + u.PRIOR))
+    out = []
+    for host, segs, ruling in rows:
+        t = template[host, segs]
+        out.append(("".join("/" + x for x in t), purity[host, t], ruling or ("block" if purity[host, t] > u.LIMIT else "allow")))
+    return out
+
+
+def test_the_tree_equals_brute_force(spark, monkeypatch):
+    draw = random.Random(6)
+    names = ["".join(draw.choice("abcdefghij") for _ in range(4)) for _ in range(60)]
+    hosts = [f"{x}.example.{y}" for x in ("a", "b", "shop") for y in ("net", "com", "org")] + ["lone.io"]
+    few = ["en", "de", "fr", "news"]
+    urls = []
+    for _ in range(900):
+        deep = draw.randrange(10) if draw.random() < 0.2 else draw.randrange(4)
+        parts = [draw.choice(few if draw.random() < 0.7 else names) for _ in range(deep)]
+        parts += [str(draw.randrange(10**5)) + draw.choice(["", ".html", "/"])] if draw.random() < 0.6 else []
+        urls.append(f"http://{draw.choice(hosts)}/{'/'.join(parts)}")
+    rules = (*u.RULES, ("a.example.com", "/news/", "allow"), ("shop.example.org", "/", "block"))
+    want = brute_force(urls, rules)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    assert len({t for t, *_ in want}) > 30 and {v for *_, v in want} == {"allow", "block"} and any("*" in t for t, *_ in want)
+    for frequent in (u.FREQUENT, 5):  # all lists frequent; few of them
+        monkeypatch.setattr(u, "FREQUENT", frequent)
+        out = {r.page_id: r for r in u.judge(pages, rules).collect()}
+        assert len(out) == len(urls)
+        for i, (template, purity, verdict) in enumerate(want):
+            assert (out[i].template, out[i].verdict) == (template, verdict) and math.isclose(out[i].purity, purity, rel_tol=1e-9), urls[i]
