@@ -33,7 +33,7 @@ def _frame(spark, rows):
 
 
 def test_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(m, "BLOCK", 200)
+    monkeypatch.setattr(m, "LEAST_BLOCK", 200)  # several blocks, and several tasks for the queries of each
     monkeypatch.setattr(m, "QUERIES", 16)
     draw = np.random.default_rng(2)
     v = draw.normal(size=(1500, 16)).astype(np.float32)
@@ -58,6 +58,43 @@ def test_recall_and_exact_scores(spark, monkeypatch):
     assert [r.vec_id for r in same] == [b for b, _ in want[500]], "ties go to smaller ids"
 
 
+def test_blocks_hold_every_row_and_cell():
+    draw = np.random.default_rng(5)
+    for counts in ([0, 0, 950, 3, 0], [5, 5, 5, 5], [0], [1000], draw.integers(0, 300, 60).tolist()):
+        counts = np.array(counts)
+        blocks = m.Blocks(counts, 100)
+        cells, rids = np.repeat(np.arange(counts.size), counts), np.arange(counts.sum())
+        at = blocks.of_rows(cells, rids)
+        assert np.bincount(at, minlength=1).max() <= 120 and (blocks.lows[at] <= cells).all() and (cells < blocks.highs[at]).all()
+        there = np.flatnonzero(counts)
+        visited = draw.choice(there, max(1, there.size // 2), replace=False) if there.size else there
+        if visited.size:
+            seen = {(b, int(blocks.lows[b] + i)) for b, bits in blocks.of_visit(visited.tolist()) for i in np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))}
+            assert seen == {(int(b), int(c)) for b, c in zip(at, cells, strict=True) if c in visited}
+
+
+def test_share_visited_falls_where_vectors_cluster():
+    """Recall of 0.9 at two sizes, without the index being read whole."""
+    draw, shares = np.random.default_rng(7), []
+    for rows in (3000, 12_000):
+        centres = draw.normal(size=(rows // 60, 16))
+        v = centres[draw.integers(0, len(centres), rows)] + 0.15 * draw.normal(size=(rows, 16))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        quantiser = m.Quantiser(v, m.centroids_for(rows))
+        cells = quantiser.cell(v)
+        counts, hits, seen = np.bincount(cells, minlength=quantiser.cells), [], []
+        for i in range(0, rows, rows // 100):
+            scores = v @ v[i]
+            scores[i] = -np.inf
+            top = np.argpartition(-scores, m.K)[: m.K]
+            visited = np.isin(cells, quantiser.visit(v[i], counts, max(quantiser.share * rows, m.K + 1)))
+            hits.append(visited[top].mean())
+            seen.append(visited.mean())
+        assert np.mean(hits) >= 0.9
+        shares.append(np.mean(seen))
+    assert shares[0] < 0.35 and shares[1] < 0.2, shares
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 2.0], "x"), (0, [1.0, 2.0], "x"), (20, [0.0, 0.0], "x"), (40, None, "x"), (60, [math.nan, 1.0], "x"), (80, [None, 1.0], "x")]
     rows += [(100, [math.inf, 1.0], "x"), (120, [1.0, 1.0, 1.0], "x"), (None, [1.0, 1.0], "x"), (7, [3.0, 1.0], None)]
