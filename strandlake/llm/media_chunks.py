@@ -7,22 +7,25 @@ It is stored losslessly, byte for byte, as a list of chunks:
   value of the byte, so that it depends on the last 32 bytes) ends a chunk where its top MASK_BITS bits
   are 0, from LEAST bytes on, and at MOST bytes at the latest. Equal stretches of different payloads get
   equal chunks whatever precedes them.
-* A chunk is named by its SHA-256 digest. Of all its occurrences one owns its bytes: that of the
-  smallest id and place. Spark joins on digests find the owners; only occurrences of digests that occur
-  more than once take part in them.
-* A stored row holds the payload's own chunks, compressed, and its ordered chunk list. Chunks owned by
-  other rows are fetched by (owner, place) when the payload is read back.
-
-Reading back checks every chunk against its digest, and the features are computed from the bytes read.
-The stored form's digest and size are those of the media file that the chunk list and the payload's
-distinct chunks make, in order of first use: they depend on the payload alone.
-
-Texts are read twice, once for the chunk lists and once for the bytes; bytes are shuffled once, by id and
-compressed, and again only for chunks that several payloads share.
-
-Defined cases: a null text counts as empty, whose payload is PAD bytes 0; rows with equal ids are kept
-apart by their payload's digest; a null id is an id like any other; an empty table gives an empty result;
-other columns are ignored.
+* A chunk is named by its SHA-256 digest. Which digests occur more than once, Spark counts over all chunk
+  lists; they go into a membership filter, sized by their number up to 2^MOST_BITS bits, whose false positives
+  only cost work.
+* The store is two tables in the shared folder. A row of `lists` is a document: its media file's head, which is
+  the ordered list of digests and sizes, and the bytes of the chunks that no other payload has. A row of
+  `chunks` is a digest that the filter names, with its bytes, once: occurrences are deduplicated by digest, in
+  blocks of documents first, so that a frequent chunk is sent once a block.
+* Reading back joins the digests that a block of documents misses with `chunks`, by digest and a salt for those
+  that very many blocks have, and puts each document's media file together: the head, then its distinct chunks
+  in order of first use. The payload is decoded from that file, every chunk against its digest.
+
+The stored form is that file. Its digest and size are taken from what was read back, as are the payload's and
+its features; they depend on the payload alone.
+
+Texts are read twice, once for the counts and once to be stored. Bytes of chunks that only one payload has are
+written and read in place, without an exchange.
+
+Defined cases: a null text counts as empty, whose payload is PAD bytes 0; rows are documents, whatever their
+ids; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +47,12 @@ PAD = 64
 #: Chunk sizes in bytes: least and most, and the bits that give 2^MASK_BITS bytes on average beyond the least.
 LEAST, MOST, MASK_BITS = 512, 16_384, 11
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32)
-NO_ID = -(2**63)
+#: Bytes of text in a block of documents.
+BLOCK = 4 << 20
+#: Bits of the filter for each digest that it names, and the logarithms of its least and largest size.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 30
+#: Blocks that get a chunk from one copy of it; where more have it, it is sent in several.
+FREQUENT = 256
 
 
 def payload(text: str | None) -> bytes:
@@ -95,190 +103,205 @@ def split(data: bytes, ends: list[int]) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def media_file(chunks: list[bytes], digests: list[bytes]) -> bytes:
-    """The stored form: count, then digest and length of each chunk in order, then each distinct chunk once."""
-    once = dict(zip(digests, chunks, strict=True))
-    head = struct.pack(">4sI", b"CDC1", len(chunks)) + b"".join(d + struct.pack(">I", len(c)) for d, c in zip(digests, chunks, strict=True))
-    return head + b"".join(once.values())
+HEAD = ">4sI"
 
 
-def feature(data: bytes) -> str:
-    """A coarse picture of the samples: sixteen means of equal stretches, two hex digits each."""
-    samples = np.frombuffer(data, dtype=np.uint8)
-    return bytes(int(part.sum()) // part.size for part in np.array_split(samples, 16)).hex()
+def media_head(chunks: list[bytes], digests: list[bytes]) -> bytes:
+    """What begins a media file: mark, count, then digest and length of each chunk in order."""
+    return struct.pack(HEAD, b"CDC1", len(chunks)) + b"".join(d + struct.pack(">I", len(c)) for d, c in zip(digests, chunks, strict=True))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list[bytes], list[list[int]]]]:
-    for batch in sized_batches(batches, "text", 4 << 20):
-        payloads = [payload(t) for t in texts_of(batch)]
-        keys = [hashlib.sha256(p).digest() for p in payloads]
-        yield batch.column("doc_id").to_pylist(), payloads, keys, chunk_ends(payloads)
+def read_head(head: bytes) -> list[tuple[bytes, int]]:
+    mark, count = struct.unpack_from(HEAD, head)
+    if mark != b"CDC1":
+        raise ValueError("not a media file")
+    at = struct.calcsize(HEAD)
+    return [(head[i : i + 32], struct.unpack_from(">I", head, i + 32)[0]) for i in range(at, at + 36 * count, 36)]
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, place, size, digest) of every chunk; key: the payload's digest, cut short."""
-    for ids, payloads, keys, ends in _keyed(batches):
-        cols: tuple[list, ...] = ([], [], [], [], [])
-        for i, p, k, e in zip(ids, payloads, keys, ends, strict=True):
-            for place, chunk in enumerate(split(p, e)):
-                for col, v in zip(cols, (i, k[:8], place, len(chunk), hashlib.sha256(chunk).digest()), strict=True):
-                    col.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "key", "place", "size", "digest"])
+def media_file(head: bytes, chunks: dict[bytes, bytes]) -> bytes:
+    """The stored form: its head, then each distinct chunk once, in order of first use."""
+    return head + b"".join(chunks[d] for d in dict.fromkeys(d for d, _ in read_head(head)))
 
 
-def _byte_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, data) of every payload; data: its length without padding, and the payload, compressed."""
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in sized_batches(batches, "text", 4 << 20):
-        texts = texts_of(batch)
-        payloads = [payload(t) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([hashlib.sha256(p).digest()[:8] for p in payloads], pa.binary()),
-                pa.array([struct.pack(">q", len(t.encode())) + press.compress(p) for t, p in zip(texts, payloads, strict=True)], pa.binary()),
-            ],
-            ["doc_id", "key", "data"],
-        )
+def decode(media: bytes) -> bytes:
+    """The payload of a media file, each chunk checked against its digest."""
+    listed = read_head(media)
+    at, found = struct.calcsize(HEAD) + 36 * len(listed), {}
+    for digest, size in dict(listed).items():
+        found[digest] = media[at : at + size]
+        at += size
+        if hashlib.sha256(found[digest]).digest() != digest:
+            raise ValueError("a stored chunk doesn't match its digest")
+    if at != len(media):
+        raise ValueError("a media file has bytes beyond its chunks")
+    return b"".join(found[d] for d, _ in listed)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
-
-
-def _store_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps of each payload the chunks it owns and the ordered list of digests; `fetched` passes through."""
-    press, read = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-    for batch in _pieces(batches):
-        n_bytes, sizes, own, digests = [], [], [], []
-        for data, fetched in zip(batch.column("data").to_pylist(), batch.column("fetched").to_pylist(), strict=True):
-            n_bytes.append(struct.unpack(">q", data[:8])[0])
-            data = read.decompress(data[8:])
-            foreign = {c["place"] for c in fetched or []}
-            chunks = split(data, chunk_ends([data])[0])
-            sizes.append(np.array([0 if i in foreign else len(c) for i, c in enumerate(chunks)], dtype=np.int32).tobytes())
-            own.append(press.compress(b"".join(c for i, c in enumerate(chunks) if i not in foreign)))
-            digests.append(b"".join(hashlib.sha256(c).digest() for c in chunks))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), batch.column("fetched"), *(pa.array(x, pa.binary()) for x in (sizes, own, digests))],
-            ["doc_id", "n_bytes", "fetched", "sizes", "own", "digests"],
-        )
+def feature(data: bytes) -> str:
+    """A coarse picture of the samples: sixteen means of equal stretches, two hex digits each."""
+    samples = np.frombuffer(data, dtype=np.uint8)
+    return bytes(int(part.sum()) // part.size for part in np.array_split(samples, 16)).hex()
+
 
+def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[list[bytes]], list[list[bytes]]]]:
+    """Blocks of documents: the rows, their texts, chunks and digests."""
+    for batch in sized_batches(batches, "text", BLOCK):
+        texts = texts_of(batch)
+        payloads = [payload(t) for t in texts]
+        chunks = [split(p, e) for p, e in zip(payloads, chunk_ends(payloads), strict=True)]
+        yield batch, texts, chunks, [[hashlib.sha256(c).digest() for c in each] for each in chunks]
 
-def own_chunks(sizes: bytes, own: bytes) -> dict[int, bytes]:
-    """The chunks of a stored row by place; size 0: another row's."""
-    data, ends = zstandard.ZstdDecompressor().decompress(own), np.cumsum(np.frombuffer(sizes, np.int32))
-    return {i: data[a:b] for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a}
-
-
-def _lent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(owner_id, owner_key, owner_place, chunk) of the chunks that other rows use, compressed."""
-    press, read = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-    for batch in _pieces(batches):
-        cols: tuple[list, ...] = ([], [], [], [])
-        for r in batch.to_pylist():
-            data = read.decompress(r["data"][8:])
-            chunks = split(data, chunk_ends([data])[0])
-            for place in r["places"]:
-                for col, v in zip(cols, (r["doc_id"], r["key"], place, press.compress(chunks[place])), strict=True):
-                    col.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["owner_id", "owner_key", "owner_place", "chunk"])
-
-
-def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Puts payloads together again, checks every chunk, and computes what is returned."""
-    read = zstandard.ZstdDecompressor()
-    for batch in _pieces(batches):
-        out = []
-        for r in batch.to_pylist():
-            chunks = own_chunks(r["sizes"], r["own"]) | {c["place"]: read.decompress(c["chunk"]) for c in r["fetched"] or []}
-            digests = [r["digests"][i : i + 32] for i in range(0, len(r["digests"]), 32)]
-            ordered = [chunks[i] for i in range(len(digests))]
-            if any(hashlib.sha256(c).digest() != d for c, d in zip(ordered, digests, strict=True)):
-                raise ValueError(f"document {r['doc_id']}: a stored chunk doesn't match its digest")
-            data, media = b"".join(ordered), media_file(ordered, digests)
-            out.append(
-                {
-                    "doc_id": r["doc_id"],
-                    "n_bytes": r["n_bytes"],
-                    "payload_bytes": len(data),
-                    "payload_sha256": hashlib.sha256(data).hexdigest(),
-                    "tail_crc32": zlib.crc32(data[-64:]),
-                    "media_bytes": len(media),
-                    "media_sha256": hashlib.sha256(media).hexdigest(),
-                    "feature": feature(data),
-                    "n_chunks": len(ordered),
-                    "n_foreign": len(r["fetched"] or []),
-                }
-            )
-        yield pa.RecordBatch.from_pylist(out, schema=_OUT)
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, _, digests in _split_batches(batches):
+        # a payload's own repetitions don't make a chunk common
+        flat = [d for each in digests for d in dict.fromkeys(each)]
+        yield pa.RecordBatch.from_arrays([pa.array(flat, pa.binary())], ["digest"])
+
+
+def common_digests(docs: DataFrame) -> DataFrame:
+    """(digest, uses): the chunks that more than one document has. Counted map-side before the exchange."""
+    return docs.select("text").mapInArrow(_digests, "digest binary").groupBy("digest").agg(F.count("*").alias("uses")).where("uses > 1")
+
+
+class Filter:
+    """Membership of digests by their first eight bytes: bits of a table of 2^bits."""
+
+    def __init__(self, bits: int, table: np.ndarray):
+        self.bits, self.table = bits, table
+
+    def place(self, digest: bytes) -> int:
+        return int.from_bytes(digest[:8], "big") >> (64 - self.bits)
+
+    def __contains__(self, digest: bytes) -> bool:
+        at = self.place(digest)
+        return bool(self.table[at >> 3] >> (at & 7) & 1)
+
+
+def filter_of(common: DataFrame) -> Broadcast:
+    """The filter that names the digests, broadcast: 2^MOST_BITS bits at most."""
+    bits = min(MOST_BITS, max(LEAST_BITS, int(BITS_EACH * common.count()).bit_length()))
+    # the first 60 bits as a number, then its upper ones; the bitmap functions count from 1
+    at = F.shiftright(F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long"), 60 - bits) + 1
+    rows = common.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    table = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in rows.collect():
+        table[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return common.sparkSession.sparkContext.broadcast(Filter(bits, table))
+
+
+_STORED = "block string, place int, doc_id bigint, n_bytes bigint, head binary, own binary, missing int, digest binary, data binary"
+
+
+def stored_rows(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """Rows of documents (head and own chunks; missing: how many they lack) and, once a block, of the chunks that
+    the filter names (digest and data). block and place number the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value
+        for nth, (batch, texts, chunks, digests) in enumerate(_split_batches(batches)):
+            block, common = f"{TaskContext.get().partitionId()}-{nth}", {}
+            rows: dict[str, list] = {"doc_id": batch.column("doc_id").to_pylist(), "n_bytes": [len(t.encode()) for t in texts], "head": [], "own": [], "missing": []}
+            for each, named in zip(chunks, digests, strict=True):
+                once = dict(zip(named, each, strict=True))
+                lent = {d: c for d, c in once.items() if d in names}
+                common |= lent
+                rows["head"].append(media_head(each, named))
+                rows["own"].append(b"".join(c for d, c in once.items() if d not in lent))
+                rows["missing"].append(len(lent))
+            n = batch.num_rows
+            yield _record({"block": [block] * n, "place": list(range(n)), **rows, "digest": [None] * n, "data": [None] * n})
+            m = len(common)
+            yield _record({"block": [block] * m, **{c: [None] * m for c in ("place", "doc_id", "n_bytes", "head", "own", "missing")}, "digest": list(common), "data": list(common.values())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _STORED)
+
+
+_KINDS = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+
+
+def _record(columns: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), _KINDS, strict=True)], list(columns))
+
+
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Writes the store: `lists`, `chunks`, and which chunks each block lacks (block, digest)."""
+    shared = filter_of(spill_table(common_digests(docs), "common"))
+    rows = spill_table(stored_rows(docs, shared), "media")
+    needs = rows.where("digest IS NOT NULL").select("block", "digest")
+    chunks = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.first("data").alias("data"), F.count("*").alias("blocks"))
+    lists = rows.where("digest IS NULL").select("block", "place", "doc_id", "n_bytes", "head", "own", "missing")
+    return lists, spill_table(chunks, "chunks"), needs
+
+
+def _read(ids: list, n_bytes: list, heads: list, own: list, common: dict[bytes, bytes]) -> pa.RecordBatch:
+    """What is returned, from stored rows and the chunks they lack."""
+    out = []
+    for doc_id, n, head, mine in zip(ids, n_bytes, heads, own, strict=True):
+        listed, at, chunks = dict(read_head(head)), 0, {}
+        for digest, size in listed.items():
+            if digest in common:
+                chunks[digest] = common[digest]
+            else:
+                chunks[digest] = mine[at : at + size]
+                at += size
+        media = media_file(head, chunks)
+        try:
+            data = decode(media)
+        except ValueError as e:
+            raise ValueError(f"document {doc_id}: {e}") from e
+        out.append(
+            {
+                "doc_id": doc_id,
+                "n_bytes": n,
+                "payload_bytes": len(data),
+                "payload_sha256": hashlib.sha256(data).hexdigest(),
+                "tail_crc32": zlib.crc32(data[-64:]),
+                "media_bytes": len(media),
+                "media_sha256": hashlib.sha256(media).hexdigest(),
+                "feature": feature(data),
+                "n_chunks": len(read_head(head)),
+                "n_shared": sum(d in common for d in listed),
+            }
+        )
+    return pa.RecordBatch.from_pylist(out, schema=_OUT)
 
 
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]
-    + [("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int32()), ("n_foreign", pa.int32())]
+    + [("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int32()), ("n_shared", pa.int32())]
 )
-_OUT_DDL = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_chunks int, n_foreign int"
-
-
-def chunk_lists(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, place, size, digest): the ordered chunk list of every document, without bytes."""
-    return _narrow(docs).mapInArrow(_chunk_rows, "doc_id bigint, key binary, place int, size int, digest binary")
-
-
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-
-
-def foreign_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, place, owner_id, owner_key, owner_place) of the chunks that another occurrence owns.
-
-    Written to the shared folder, as is the chunk list it comes from: narrow rows, used more than once."""
-    chunks = spill_table(chunk_lists(docs), "chunks").select("digest", F.struct("doc_id", "key", "place").alias("at"))
-    # counted and reduced to the owner before the exchange; then only digests met again are joined
-    owners = chunks.groupBy("digest").agg(F.min("at").alias("owner"), F.count("*").alias("uses")).where("uses > 1")
-    found = (
-        chunks.join(owners, "digest")
-        .where("at <> owner")
-        .select("at.doc_id", "at.key", "at.place", F.col("owner.doc_id").alias("owner_id"), F.col("owner.key").alias("owner_key"), F.col("owner.place").alias("owner_place"))
-        .distinct()
-    )
-    return spill_table(found, "foreign")
-
-
-def payload_rows(docs: DataFrame) -> DataFrame:
-    """Both joins use all three columns, and none can be null: so they read one and the same exchange."""
-    return _narrow(docs).mapInArrow(_byte_rows, "doc_id bigint NOT NULL, key binary NOT NULL, data binary NOT NULL")
-
+_OUT_DDL = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_chunks int, n_shared int"
+_ROW = ("doc_id", "n_bytes", "head", "own")
 
-def fetched_chunks(payloads: DataFrame, foreign: DataFrame) -> DataFrame:
-    """Per (doc_id, key) the places and bytes of the chunks that it borrows."""
-    lent = foreign.groupBy(F.col("owner_id").alias("doc_id"), F.col("owner_key").alias("key")).agg(F.collect_set("owner_place").alias("places"))
-    at = ["owner_id", "owner_key", "owner_place"]
-    chunks = payloads.join(lent, ["doc_id", "key"]).select("doc_id", "key", "data", "places").mapInArrow(_lent_rows, "owner_id bigint, owner_key binary, owner_place int, chunk binary")
-    return foreign.join(chunks.dropDuplicates(at), at).groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "chunk")).alias("fetched"))
 
+def read_back(lists: DataFrame, chunks: DataFrame, needs: DataFrame) -> DataFrame:
+    """Digests and features of the payloads, put together from the store alone."""
 
-def store(payloads: DataFrame, fetched: DataFrame) -> DataFrame:
-    """One stored row per document: its own chunks, its ordered digests, and what it borrows."""
-    kept = "doc_id bigint, n_bytes bigint, fetched array<struct<place int, chunk binary>>, sizes binary, own binary, digests binary"
-    return payloads.join(fetched, ["doc_id", "key"], "left").select("doc_id", "data", "fetched").mapInArrow(_store_rows, kept)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized_batches(batches, "own"):
+            yield _read(*(batch.column(c).to_pylist() for c in _ROW), {})
 
+    def joined(rows: pa.Table, found: pa.Table) -> pa.Table:
+        common = dict(zip(found.column("digest").to_pylist(), found.column("data").to_pylist(), strict=True))
+        return pa.Table.from_batches([_read(*(rows.column(c).to_pylist() for c in _ROW), common)], schema=_OUT)
 
-def read_back(stored: DataFrame) -> DataFrame:
-    """Digests and features of the payloads, put together from the stored rows alone."""
-    return stored.mapInArrow(_read_rows, _OUT_DDL).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    alone = lists.where("missing = 0").select(*_ROW).mapInArrow(whole, _OUT_DDL)
+    # what many blocks lack is asked for under several salts; how many is the chunk's to say
+    salts = F.ceil(F.col("blocks") / FREQUENT)
+    frequent = chunks.where(F.col("blocks") > FREQUENT).select("digest", salts.alias("salts"))
+    asked = needs.join(frequent, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("block"), F.coalesce("salts", F.lit(1)))).select("block", "digest", "salt")
+    sent = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).select("digest", "salt", "data")
+    found = asked.join(sent, ["digest", "salt"]).select(F.col("block").alias("of_block"), "digest", "data")
+    # a block holds BLOCK bytes of documents, so no group is larger than that or one document
+    some = lists.where("missing > 0").select("block", *_ROW).groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(joined, _OUT_DDL)
+    return alone.unionByName(some)
 
 
 def media_of(docs: DataFrame) -> DataFrame:
     """Stores every document's payload as chunks and reads it back."""
-    foreign = foreign_chunks(docs)
-    payloads = payload_rows(docs)  # one exchange of them serves lending and storing
-    return read_back(store(payloads, fetched_chunks(payloads, foreign)))
+    return read_back(*store(docs))
 
 
 def op2_media_chunks(spark, sf_dir: str) -> DataFrame:

@@ -56,21 +56,65 @@ def test_store_and_read_back(spark):
     for r in out:
         by_text.setdefault(r.payload_sha256, set()).add((r.media_bytes, r.media_sha256, r.feature))
     assert all(len(v) == 1 for v in by_text.values())
-    assert sum(r.n_foreign for r in out) > 20, "copies borrow their chunks"
-    lists = m.chunk_lists(docs)
-    stored = m.store(m.payload_rows(docs), m.fetched_chunks(m.payload_rows(docs), m.foreign_chunks(docs)))
-    kept = sum(int(np.frombuffer(r.sizes, np.int32).sum()) for r in stored.dropDuplicates(["digests", "doc_id"]).collect())
-    assert kept == lists.groupBy("digest").agg(F.first("size").alias("s")).agg(F.sum("s")).first()[0]
+    assert sum(r.n_shared for r in out) > 20, "copies share their chunks"
     assert m.media_of(docs.limit(0)).count() == 0
 
 
-def test_a_damaged_chunk_is_noticed(spark):
-    docs = spark.createDataFrame([(1, "abc" * 500)], "doc_id long, text string")
-    stored = m.store(m.payload_rows(docs), m.fetched_chunks(m.payload_rows(docs), m.foreign_chunks(docs)))
-    damaged = stored.withColumn("digests", F.concat(F.unhex(F.lit("00")), F.expr("substring(digests, 2, length(digests) - 1)")))
-    try:
-        m.read_back(damaged).collect()
-    except Exception as e:
-        assert "doesn't match its digest" in str(e)
-    else:
-        raise AssertionError("not noticed")
+def _store(spark):
+    draw = random.Random(6)
+    text = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    shared = text(40_000)
+    rows = [(i, text(300) + shared) for i in range(30)] + [(100 + i, text(5000)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return rows, docs, m.store(docs)
+
+
+def test_chunks_of_several_documents_are_stored_once(spark):
+    rows, docs, (lists, chunks, needs) = _store(spark)
+    payloads = [m.payload(t) for _, t in rows]
+    uses = {}
+    for p in payloads:
+        for c in set(m.split(p, rolling_cuts(p))):
+            uses[c] = uses.get(c, 0) + 1
+    stored = chunks.collect()
+    assert {bytes(r.data) for r in stored} == {c for c, n in uses.items() if n > 1} and len({r.digest for r in stored}) == len(stored)
+    kept = sum(len(r.own) for r in lists.collect()) + sum(len(r.data) for r in stored)
+    assert kept == sum(map(len, uses)) < 0.2 * sum(map(len, payloads))
+    out = {r.doc_id: r for r in m.read_back(lists, chunks, needs).collect()}
+    for (i, _), p in zip(rows, payloads, strict=True):
+        chunk = m.split(p, rolling_cuts(p))
+        digests = [hashlib.sha256(c).digest() for c in chunk]
+        media = m.media_file(m.media_head(chunk, digests), dict(zip(digests, chunk, strict=True)))
+        assert m.decode(media) == p and (out[i].media_bytes, out[i].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_a_chunk_of_very_many_blocks_is_sent_in_copies(spark, monkeypatch):
+    monkeypatch.setattr(m, "FREQUENT", 1)  # blocks are the four partitions
+    rows, docs, parts = _store(spark)
+    out = {r.doc_id: r.payload_sha256 for r in m.read_back(*parts).collect()}
+    assert out == {i: hashlib.sha256(m.payload(t)).hexdigest() for i, t in rows}
+
+
+def test_a_filter_that_names_everything_changes_nothing(spark, monkeypatch):
+    rows, docs, parts = _store(spark)
+    want = sorted(tuple(r)[:8] for r in m.read_back(*parts).collect())
+    monkeypatch.setattr(m.Filter, "__contains__", lambda self, digest: True)
+    shared = spark.sparkContext.broadcast(m.Filter(20, np.full((1 << 20) // 8, 255, np.uint8)))
+    stored = m.stored_rows(docs, shared)
+    some = stored.where("digest IS NOT NULL")
+    chunks = some.groupBy("digest").agg(F.first("data").alias("data"), F.count("*").alias("blocks"))
+    got = m.read_back(stored.where("digest IS NULL"), chunks, some.select("block", "digest")).collect()
+    assert sorted(tuple(r)[:8] for r in got) == want and all(r.n_shared for r in got)
+
+
+def test_damage_is_noticed(spark):
+    rows, docs, (lists, chunks, needs) = _store(spark)
+    spoilt = F.concat(F.expr("substring(data, 1, 3)"), F.lit(b"#"), F.expr("substring(data, 5, length(data) - 4)"))
+    own = F.when(F.length("own") > 0, F.concat(F.lit(b"#"), F.expr("substring(own, 2, length(own) - 1)"))).otherwise(F.col("own"))
+    for damaged in ((lists, chunks.withColumn("data", spoilt), needs), (lists.withColumn("own", own), chunks, needs), (lists, chunks.where("length(data) > 1000"), needs)):
+        try:
+            m.read_back(*damaged).collect()
+        except Exception as e:
+            assert "doesn't match its digest" in str(e) or "beyond its chunks" in str(e)
+        else:
+            raise AssertionError("not noticed")
