@@ -407,11 +407,14 @@ def _link_rounds(docs: DataFrame, classes: DataFrame, postings: DataFrame, sketc
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs, with their columns: of each component the row with the smallest id (nulls last; of equal
     ids the one read first), and every row without words."""
-    numbered = spill_table(docs.withColumn("_rid", F.monotonically_increasing_id()), "documents")
-    groups = similar_groups(numbered, words, percent, rid="_rid")
+    rid = "_rid"
+    while rid.lower() in {c.lower() for c in docs.columns}:
+        rid += "_"
+    numbered = spill_table(docs.withColumn(rid, F.monotonically_increasing_id()), "documents")
+    groups = similar_groups(numbered, words, percent, rid=rid)
     first = groups.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("x"))
-    kept = first.select(F.col("x.rid").alias("_rid")).unionByName(groups.where("n_shingles = 0").select(F.col("rid").alias("_rid")))
-    return numbered.join(kept, "_rid", "left_semi").select(*docs.columns)
+    kept = first.select(F.col("x.rid").alias(rid)).unionByName(groups.where("n_shingles = 0").select(F.col("rid").alias(rid)))
+    return numbered.join(kept, rid, "left_semi").select(*docs.columns)
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

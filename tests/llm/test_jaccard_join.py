@@ -138,3 +138,9 @@ def test_every_link_is_counted(spark, monkeypatch, seed, k, percent, cell):
 def test_intersections(left, right):
     x, y = ([np.array(sorted(s), np.uint64) for s in side] for side in (left, right))
     assert j.intersections(x, y).tolist() == [[len(a & b) for b in right] for a in left]
+
+
+def test_columns_that_clash_come_back_unchanged(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, 777, 5), (2, text, 778, 6), (3, "other words", 779, 7)], "doc_id long, text string, _rid long, _RID_ long")
+    assert sorted(map(tuple, j.one_of_each_group(docs).collect())) == [(1, text, 777, 5), (3, "other words", 779, 7)]
