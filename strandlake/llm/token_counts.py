@@ -111,7 +111,7 @@ def unpack_words(packed: bytes) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def block_row(ids: list[int], texts: list[str], specials: tuple[str, ...], buckets: int) -> tuple[bytes, list[dict]]:
+def block_row(ids: list[int | None], texts: list[str], specials: tuple[str, ...], buckets: int) -> tuple[bytes, list[dict]]:
     """A block's packed frequencies and its distinct pre-tokens, packed by bucket."""
     cut = re.compile("|".join(map(re.escape, specials))) if specials else None
     number: dict[str, int] = {}
@@ -136,7 +136,8 @@ def block_row(ids: list[int], texts: list[str], specials: tuple[str, ...], bucke
     by = np.lexsort((at, owner))
     at, owner = at[by], owner[by]
     step = np.diff(at, prepend=0)  # small within a document
-    data = pack(np.array(ids, np.int64), np.array(size), np.array(special), np.array(rows), step, np.array(freq, np.int64)[by])
+    known = np.array([i is not None for i in ids], dtype=np.int64)
+    data = pack(np.array([i or 0 for i in ids], np.int64), known, np.array(size), np.array(special), np.array(rows), step, np.array(freq, np.int64)[by])
     lists, sorted_bucket = [], bucket[order]
     for b in np.unique(sorted_bucket):
         lo, hi = np.searchsorted(sorted_bucket, [b, b + 1])
@@ -153,8 +154,7 @@ def count_tokens(docs: DataFrame, path: str = TOKENIZER, block: int = BLOCK, lim
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth, kinds = 0, pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
         for batch in sized_batches(batches, "text", block):
-            # null ids are marked by the smallest long
-            ids = [-(2**63) if i is None else i for i in batch.column("doc_id").to_pylist()]
+            ids = batch.column("doc_id").to_pylist()
             data, lists = block_row(ids, texts_of(batch), specials, buckets)
             name = f"{TaskContext.get().partitionId()}-{nth}"
             nth += 1
@@ -176,13 +176,13 @@ def count_tokens(docs: DataFrame, path: str = TOKENIZER, block: int = BLOCK, lim
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, found in zip(batch.column("data").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                ids, size, special, rows, step, freq = unpack(data, 6)
+                ids, known, size, special, rows, step, freq = unpack(data, 7)
                 found = sorted(found or [], key=lambda x: x["bucket"])
                 count = np.concatenate([unpack(x["counts"], 1)[0] for x in found]) if found else np.empty(0, np.int64)
                 owner = np.repeat(np.arange(ids.size), rows)
                 total = np.bincount(owner, freq * count[np.cumsum(step)], minlength=ids.size).astype(np.int64) if step.size else np.zeros(ids.size, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == -(2**63)), pa.array(size), pa.array(total + special)], ["doc_id", "n_bytes", "n_tokens"]
+                    [pa.array(ids, mask=known == 0), pa.array(size), pa.array(total + special)], ["doc_id", "n_bytes", "n_tokens"]
                 )
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

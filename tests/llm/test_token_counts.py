@@ -35,7 +35,7 @@ def test_special_strings_count_as_the_library_has_them(text):
 
 def test_frames(spark):
     texts = [None, "", "the end", "the end", "<|endoftext|> é " * 9, "word " * 30_000, "x" * 5000, " \n" * 400]
-    rows = [(i, t, "b", 7) for i, t in enumerate(texts)] + [(2, "again, twice", "b", 7), (None, "no id", None, None)]
+    rows = [(i, t, "b", 7) for i, t in enumerate(texts)] + [(2, "again, twice", "b", 7), (None, "no id", None, None), (-(2**63), "least id", "b", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, block string, n_tokens int").repartition(3)
     got = sorted(map(tuple, tc.count_tokens(docs, block=64).collect()), key=str)
     want = []
