@@ -14,7 +14,7 @@ SPECIALS = tc.special_strings(tc.TOKENIZER)
 def direct(texts):
     data, lists = tc.block_row(list(range(len(texts))), texts, SPECIALS, 7)
     count = [n for x in sorted(lists, key=lambda x: x["bucket"]) for n in tc.pieces(tc.unpack_words(x["words"]), tc.TOKENIZER)]
-    ids, size, special, rows, step, freq = tc.unpack(data, 6)
+    ids, _, size, special, rows, step, freq = tc.unpack(data, 7)
     out, at, place = [], 0, step.cumsum()
     for i in range(len(ids)):
         out.append(int(special[i] + sum(freq[j] * count[place[j]] for j in range(at, at + rows[i]))))
