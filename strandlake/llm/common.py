@@ -47,13 +47,20 @@ def cut(df: DataFrame) -> DataFrame:
 _scratch: list[tuple[SparkSession, str]] = []
 
 
-def spill_table(df: DataFrame, name: str) -> DataFrame:
-    """Large intermediate result, written as compressed Parquet to the shared folder and read back."""
+def spill_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Large intermediate result, written as compressed Parquet to the shared folder and read back.
+
+    by: a column by whose hash the rows are written in buckets, so that reading them by it needs no exchange."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    written = df.write.option("compression", "zstd")
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        written.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table_name = path.rsplit("/", 1)[1].replace("-", "_")
+    written.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(table_name)
+    return spark.table(table_name)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -10,10 +10,11 @@ It is stored losslessly, byte for byte, as a list of chunks:
 * A chunk is named by its SHA-256 digest. Which digests occur more than once, Spark counts over all chunk
   lists; they go into a membership filter, sized by their number up to 2^MOST_BITS bits, whose false positives
   only cost work.
-* The store is two tables in the shared folder. A row of `lists` is a document: its media file's head, which is
-  the ordered list of digests and sizes, and the bytes of the chunks that no other payload has. A row of
-  `chunks` is a digest that the filter names, with its bytes, once: occurrences are deduplicated by digest, in
-  blocks of documents first, so that a frequent chunk is sent once a block.
+* The store is two tables in the shared folder. A row of `lists` is a block of documents: each one's media file
+  head, which is the ordered list of digests and sizes, and, compressed together, the bytes of the chunks that
+  the filter doesn't name. Documents that lack chunks and those that don't have rows of their own. A row of
+  `chunks` is a digest that the filter names, with its bytes, once: occurrences are deduplicated by digest,
+  within each task first, and what is asked for is asked once a block.
 * Reading back joins the digests that a block of documents misses with `chunks`, by digest and a salt for those
   that very many blocks have, and puts each document's media file together: the head, then its distinct chunks
   in order of first use. The payload is decoded from that file, every chunk against its digest.
@@ -37,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ PAD = 64
 LEAST, MOST, MASK_BITS = 512, 16_384, 11
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32)
 #: Bytes of text in a block of documents.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: Bits of the filter for each digest that it names, and the logarithms of its least and largest size.
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 30
 #: Blocks that get a chunk from one copy of it; where more have it, it is sent in several.
@@ -153,37 +155,38 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Recor
         yield batch, texts, chunks, [[hashlib.sha256(c).digest() for c in each] for each in chunks]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def name_of(digest: bytes) -> int:
+    """The digest's first 60 bits, by which chunks are counted and looked up in the filter."""
+    return int.from_bytes(digest[:8], "big") >> 4
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, _, _, digests in _split_batches(batches):
         # a payload's own repetitions don't make a chunk common
-        flat = [d for each in digests for d in dict.fromkeys(each)]
-        yield pa.RecordBatch.from_arrays([pa.array(flat, pa.binary())], ["digest"])
+        flat = [name_of(d) for each in digests for d in dict.fromkeys(each)]
+        yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64())], ["name"])
 
 
-def common_digests(docs: DataFrame) -> DataFrame:
-    """(digest, uses): the chunks that more than one document has. Counted map-side before the exchange."""
-    return docs.select("text").mapInArrow(_digests, "digest binary").groupBy("digest").agg(F.count("*").alias("uses")).where("uses > 1")
+def common_chunks(docs: DataFrame) -> DataFrame:
+    """(name, uses): the chunks that more than one document has. Counted map-side before the exchange."""
+    return docs.select("text").mapInArrow(_names, "name bigint").groupBy("name").agg(F.count("*").alias("uses")).where("uses > 1")
 
 
 class Filter:
-    """Membership of digests by their first eight bytes: bits of a table of 2^bits."""
+    """Membership of digests by the first bits of their names: a table of 2^bits bits."""
 
     def __init__(self, bits: int, table: np.ndarray):
         self.bits, self.table = bits, table
 
-    def place(self, digest: bytes) -> int:
-        return int.from_bytes(digest[:8], "big") >> (64 - self.bits)
-
     def __contains__(self, digest: bytes) -> bool:
-        at = self.place(digest)
+        at = name_of(digest) >> (60 - self.bits)
         return bool(self.table[at >> 3] >> (at & 7) & 1)
 
 
 def filter_of(common: DataFrame) -> Broadcast:
-    """The filter that names the digests, broadcast: 2^MOST_BITS bits at most."""
+    """The filter that names the chunks, broadcast: 2^MOST_BITS bits at most."""
     bits = min(MOST_BITS, max(LEAST_BITS, int(BITS_EACH * common.count()).bit_length()))
-    # the first 60 bits as a number, then its upper ones; the bitmap functions count from 1
-    at = F.shiftright(F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long"), 60 - bits) + 1
+    at = F.shiftright("name", 60 - bits) + 1  # the bitmap functions count from 1
     rows = common.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     table = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for r in rows.collect():
@@ -191,61 +194,67 @@ def filter_of(common: DataFrame) -> Broadcast:
     return common.sparkSession.sparkContext.broadcast(Filter(bits, table))
 
 
-_STORED = "block string, place int, doc_id bigint, n_bytes bigint, head binary, own binary, missing int, digest binary, data binary"
+_STORED = "block string, lacking boolean, doc_ids array<bigint>, n_bytes array<bigint>, heads array<binary>, own_sizes array<bigint>, own binary, digest binary, data binary"
+_KINDS = (pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+_NAMES = [c.split(" ")[0] for c in _STORED.split(", ")]
+_LIST = _NAMES[:7]
 
 
 def stored_rows(docs: DataFrame, shared: Broadcast) -> DataFrame:
-    """Rows of documents (head and own chunks; missing: how many they lack) and, once a block, of the chunks that
-    the filter names (digest and data). block and place number the documents."""
+    """Rows of blocks of documents, and rows (block, digest, data) of the chunks that the filter names, of which
+    each task gives the data once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value
+        names, press, given = shared.value, zstandard.ZstdCompressor(level=3), set()
         for nth, (batch, texts, chunks, digests) in enumerate(_split_batches(batches)):
-            block, common = f"{TaskContext.get().partitionId()}-{nth}", {}
-            rows: dict[str, list] = {"doc_id": batch.column("doc_id").to_pylist(), "n_bytes": [len(t.encode()) for t in texts], "head": [], "own": [], "missing": []}
-            for each, named in zip(chunks, digests, strict=True):
+            block, common, sides = f"{TaskContext.get().partitionId()}-{nth}", {}, {False: [], True: []}
+            for doc_id, text, each, named in zip(batch.column("doc_id").to_pylist(), texts, chunks, digests, strict=True):
                 once = dict(zip(named, each, strict=True))
                 lent = {d: c for d, c in once.items() if d in names}
                 common |= lent
-                rows["head"].append(media_head(each, named))
-                rows["own"].append(b"".join(c for d, c in once.items() if d not in lent))
-                rows["missing"].append(len(lent))
-            n = batch.num_rows
-            yield _record({"block": [block] * n, "place": list(range(n)), **rows, "digest": [None] * n, "data": [None] * n})
-            m = len(common)
-            yield _record({"block": [block] * m, **{c: [None] * m for c in ("place", "doc_id", "n_bytes", "head", "own", "missing")}, "digest": list(common), "data": list(common.values())})
+                own = b"".join(c for d, c in once.items() if d not in lent)
+                sides[bool(lent)].append((doc_id, len(text.encode()), media_head(each, named), len(own), own))
+            rows: list[tuple] = []
+            for lacking, side in sides.items():
+                if side:
+                    ids, sizes, heads, own_sizes, own = map(list, zip(*side, strict=True))
+                    rows.append((block, lacking, ids, sizes, heads, own_sizes, press.compress(b"".join(own)), None, None))
+            rows += [(block, *[None] * 6, d, None if d in given else press.compress(c)) for d, c in common.items()]
+            given |= common.keys()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS)], _NAMES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _STORED)
 
 
-_KINDS = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
-
-
-def _record(columns: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), _KINDS, strict=True)], list(columns))
-
-
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Writes the store: `lists`, `chunks`, and which chunks each block lacks (block, digest)."""
-    shared = filter_of(spill_table(common_digests(docs), "common"))
-    rows = spill_table(stored_rows(docs, shared), "media")
+    shared = filter_of(spill_table(common_chunks(docs), "common"))
+    # in buckets of blocks: what blocks lack comes to them, and they stay where they are
+    rows = spill_table(stored_rows(docs, shared), "media", by="block")
     needs = rows.where("digest IS NOT NULL").select("block", "digest")
-    chunks = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.first("data").alias("data"), F.count("*").alias("blocks"))
-    lists = rows.where("digest IS NULL").select("block", "place", "doc_id", "n_bytes", "head", "own", "missing")
-    return lists, spill_table(chunks, "chunks"), needs
+    return rows.where("digest IS NULL").select(*_LIST), spill_table(once_each(rows), "chunks"), needs
+
+
+def once_each(rows: DataFrame) -> DataFrame:
+    """(digest, data, blocks) of stored rows: each chunk once, and how many blocks lack it."""
+    blocks = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("blocks"))
+    data = rows.where("data IS NOT NULL").select("digest", "data").dropDuplicates(["digest"])
+    return data.join(blocks, "digest")
 
 
-def _read(ids: list, n_bytes: list, heads: list, own: list, common: dict[bytes, bytes]) -> pa.RecordBatch:
-    """What is returned, from stored rows and the chunks they lack."""
-    out = []
-    for doc_id, n, head, mine in zip(ids, n_bytes, heads, own, strict=True):
+def _read(row: dict, common: dict[bytes, bytes]) -> pa.RecordBatch:
+    """What is returned, from a stored block of documents and the chunks they lack."""
+    out, from_ = [], 0
+    every = zstandard.ZstdDecompressor().decompress(row["own"])
+    for doc_id, n, head, size in zip(row["doc_ids"], row["n_bytes"], row["heads"], row["own_sizes"], strict=True):
+        mine, from_ = every[from_ : from_ + size], from_ + size
         listed, at, chunks = dict(read_head(head)), 0, {}
-        for digest, size in listed.items():
+        for digest, length in listed.items():
             if digest in common:
                 chunks[digest] = common[digest]
             else:
-                chunks[digest] = mine[at : at + size]
-                at += size
+                chunks[digest] = mine[at : at + length]
+                at += length
         media = media_file(head, chunks)
         try:
             data = decode(media)
@@ -273,21 +282,22 @@ _OUT = pa.schema(
     + [("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int32()), ("n_shared", pa.int32())]
 )
 _OUT_DDL = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_chunks int, n_shared int"
-_ROW = ("doc_id", "n_bytes", "head", "own")
 
 
 def read_back(lists: DataFrame, chunks: DataFrame, needs: DataFrame) -> DataFrame:
     """Digests and features of the payloads, put together from the store alone."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, "own"):
-            yield _read(*(batch.column(c).to_pylist() for c in _ROW), {})
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _read(batch.slice(i, 1).to_pylist()[0], {})
 
     def joined(rows: pa.Table, found: pa.Table) -> pa.Table:
-        common = dict(zip(found.column("digest").to_pylist(), found.column("data").to_pylist(), strict=True))
-        return pa.Table.from_batches([_read(*(rows.column(c).to_pylist() for c in _ROW), common)], schema=_OUT)
+        read = zstandard.ZstdDecompressor()
+        common = {d: read.decompress(c) for d, c in zip(found.column("digest").to_pylist(), found.column("data").to_pylist(), strict=True)}
+        return pa.Table.from_batches([_read(r, common) for r in rows.to_pylist()], schema=_OUT)
 
-    alone = lists.where("missing = 0").select(*_ROW).mapInArrow(whole, _OUT_DDL)
+    alone = lists.where("NOT lacking").mapInArrow(whole, _OUT_DDL)
     # what many blocks lack is asked for under several salts; how many is the chunk's to say
     salts = F.ceil(F.col("blocks") / FREQUENT)
     frequent = chunks.where(F.col("blocks") > FREQUENT).select("digest", salts.alias("salts"))
@@ -295,7 +305,7 @@ def read_back(lists: DataFrame, chunks: DataFrame, needs: DataFrame) -> DataFram
     sent = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).select("digest", "salt", "data")
     found = asked.join(sent, ["digest", "salt"]).select(F.col("block").alias("of_block"), "digest", "data")
     # a block holds BLOCK bytes of documents, so no group is larger than that or one document
-    some = lists.where("missing > 0").select("block", *_ROW).groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(joined, _OUT_DDL)
+    some = lists.where("lacking").groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(joined, _OUT_DDL)
     return alone.unionByName(some)
 
 

@@ -5,9 +5,9 @@ import random
 import zlib
 
 import numpy as np
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from strandlake.llm import media_chunks as m
 
@@ -77,8 +77,9 @@ def test_chunks_of_several_documents_are_stored_once(spark):
         for c in set(m.split(p, rolling_cuts(p))):
             uses[c] = uses.get(c, 0) + 1
     stored = chunks.collect()
-    assert {bytes(r.data) for r in stored} == {c for c, n in uses.items() if n > 1} and len({r.digest for r in stored}) == len(stored)
-    kept = sum(len(r.own) for r in lists.collect()) + sum(len(r.data) for r in stored)
+    read = zstandard.ZstdDecompressor().decompress
+    assert {read(r.data) for r in stored} == {c for c, n in uses.items() if n > 1} and len({r.digest for r in stored}) == len(stored)
+    kept = sum(len(read(r.own)) for r in lists.collect()) + sum(len(read(r.data)) for r in stored)
     assert kept == sum(map(len, uses)) < 0.2 * sum(map(len, payloads))
     out = {r.doc_id: r for r in m.read_back(lists, chunks, needs).collect()}
     for (i, _), p in zip(rows, payloads, strict=True):
@@ -101,17 +102,17 @@ def test_a_filter_that_names_everything_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(m.Filter, "__contains__", lambda self, digest: True)
     shared = spark.sparkContext.broadcast(m.Filter(20, np.full((1 << 20) // 8, 255, np.uint8)))
     stored = m.stored_rows(docs, shared)
-    some = stored.where("digest IS NOT NULL")
-    chunks = some.groupBy("digest").agg(F.first("data").alias("data"), F.count("*").alias("blocks"))
-    got = m.read_back(stored.where("digest IS NULL"), chunks, some.select("block", "digest")).collect()
+    lists, needs = stored.where("digest IS NULL").select(*m._LIST), stored.where("digest IS NOT NULL").select("block", "digest")
+    got = m.read_back(lists, m.once_each(stored), needs).collect()
     assert sorted(tuple(r)[:8] for r in got) == want and all(r.n_shared for r in got)
 
 
 def test_damage_is_noticed(spark):
     rows, docs, (lists, chunks, needs) = _store(spark)
-    spoilt = F.concat(F.expr("substring(data, 1, 3)"), F.lit(b"#"), F.expr("substring(data, 5, length(data) - 4)"))
-    own = F.when(F.length("own") > 0, F.concat(F.lit(b"#"), F.expr("substring(own, 2, length(own) - 1)"))).otherwise(F.col("own"))
-    for damaged in ((lists, chunks.withColumn("data", spoilt), needs), (lists.withColumn("own", own), chunks, needs), (lists, chunks.where("length(data) > 1000"), needs)):
+    press, read = zstandard.ZstdCompressor(), zstandard.ZstdDecompressor().decompress
+    spoil = lambda data: press.compress(b"#" + read(data)[1:])
+    changed = lambda df, c: spark.createDataFrame([r.asDict() | {c: bytearray(spoil(r[c]))} if len(read(r[c])) else r.asDict() for r in df.collect()], df.schema)
+    for damaged in ((lists, changed(chunks, "data"), needs), (changed(lists, "own"), chunks, needs), (lists, chunks.orderBy("digest").limit(1), needs)):
         try:
             m.read_back(*damaged).collect()
         except Exception as e:
