@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.builder import DeltaBuilder, tagged
+from strandlake.operators.compose import claims
 from strandlake.operators.resolvers import last_write
 from strandlake.operators.schemas import Registry, Schema, apply_schema, validate, validation_statistics
+from strandlake.sources.store import Store
+from strandlake.types import DELTA
 
 
 def ids(found: DataFrame, collection: str) -> DataFrame:
@@ -77,6 +80,13 @@ class Collection:
             out.append(delta.in_transaction(named("tx")) if len(changed) > 1 else delta)
         return [d.build(seq + i) for i, d in enumerate(out)]
 
+    def save(self, store: Store, entity_id: str, properties: dict[str, Any], creator: str, host: str, time: int) -> DataFrame:
+        """Appends what put gives to the store, and resolves the entity from the store's log."""
+        deltas = self.put(entity_id, properties, creator, host, time, store.next_seq())
+        if deltas:
+            store.append(self.found.sparkSession.createDataFrame(deltas, DELTA))
+        return resolve(claims(store.log(), [entity_id]), entity_id)
+
     def _check(self, properties: dict[str, Any]) -> None:
         for name in self.schema.required_properties:
             if properties.get(name) is None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.targets import is_reference, value_of
 from strandlake.operators.negation import visible_deltas
-from strandlake.operators.transactions import gate, transaction_of
+from strandlake.operators.transactions import gate, status, transaction_of
 
 
 def deduplicated(log: DataFrame) -> DataFrame:
@@ -30,9 +30,11 @@ def claims_of(log: DataFrame) -> DataFrame:
 
     Narrow projections: `pointers` is carried as a column that column pruning drops where it isn't used."""
     targets = F.array_distinct(F.transform(F.filter("pointers", is_reference), lambda p: F.struct(p["target"]["s"].alias("entity_id"), p["target_context"].alias("property"))))
-    each = log.withColumn("transaction_id", transaction_of(F.col("pointers"))).withColumn("at", F.explode(targets))
+    texts = F.transform("pointers", lambda p: F.when(p["target"]["kind"] == "string", p["target"]["s"]))
+    each = log.withColumn("transaction_id", transaction_of(F.col("pointers"))).withColumn("_texts", texts).withColumn("at", F.explode(targets))
     entity = F.col("at.entity_id")
-    label = F.get(F.filter("pointers", lambda p: (p["target"]["kind"] == "string") & (p["target"]["s"] == entity)), F.lit(0))["local_context"]
+    # the label of the first pointer at the entity
+    label = F.get(F.col("pointers"), (F.array_position("_texts", entity) - 1).cast("int"))["local_context"]
     return each.select(
         entity.alias("entity_id"),
         F.col("at.property").alias("property"),
@@ -98,6 +100,13 @@ def decompose(view: DataFrame) -> DataFrame:
     return each.dropDuplicates(["delta_id"])
 
 
+def with_status(found: DataFrame, log: DataFrame) -> DataFrame:
+    """Claims made without the transaction gate, with `complete`: whether the claim's transaction is, null outside any."""
+    states = status(log).select("transaction_id", "complete")
+    inside = found.where("transaction_id IS NOT NULL").join(states, "transaction_id", "left").select(*found.columns, "complete")
+    return inside.unionByName(found.where("transaction_id IS NULL").withColumn("complete", F.lit(None).cast("boolean")))
+
+
 def entity_ids(found: DataFrame) -> DataFrame:
     return found.select("entity_id").distinct()
 

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.jsonlogic import compile_predicate
 from strandlake.functions.targets import is_reference, value_of
+from strandlake.operators.negation import checkpointed
 from strandlake.operators.schemas import Property, Schema
 
+
 def with_required(found: DataFrame, schema: Schema) -> DataFrame:
     """Entities (entity_id) that are claimed under every required property."""
     needed = schema.required_properties
@@ -45,12 +47,18 @@ def typed(name: str, prop: Property) -> Column:
     return c
 
 
-def resolve_entities(found: DataFrame, schema: Schema, first_write: bool = False) -> DataFrame:
-    """One row per entity: id, _first_seq (its first arrival), and a column for each property as target."""
+def resolve_entities(found: DataFrame, schema: Schema, first_write: bool = False, required: tuple[str, ...] = ()) -> DataFrame:
+    """One row per entity: id, _first_seq (its first arrival), and a column for each property as target.
+
+    required: only entities that are claimed under each of these properties, told by the same aggregation."""
     wanted = found.withColumn("value", F.when(F.col("property").isin(list(schema.properties)), F.col("value")))
-    return wanted.groupBy(F.col("entity_id").alias("id")).agg(
-        F.min("ingest_seq").alias("_first_seq"), *(_resolved(p, n, first_write).alias(n) for n, p in schema.properties.items())
+    there = [F.bool_or(F.col("property") == n).alias(f"_has_{i}") for i, n in enumerate(required)]
+    rows = wanted.groupBy(F.col("entity_id").alias("id")).agg(
+        F.min("ingest_seq").alias("_first_seq"), *(_resolved(p, n, first_write).alias(n) for n, p in schema.properties.items()), *there
     )
+    for i in range(len(required)):
+        rows = rows.where(F.col(f"_has_{i}"))
+    return rows.drop(*(f"_has_{i}" for i in range(len(required))))
 
 
 def fields_of(schema: Schema) -> dict[str, tuple[Column, str]]:
@@ -65,25 +73,34 @@ def query(
     raw: DataFrame | None = None,
     max_results: int | None = None,
     first_write: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
     """Entities with all required properties that fulfil the logic.
 
     found: visible claims. raw: all claims of the log, where the required properties are looked up; by
     default the visible ones. first_write: the oldest value of a property wins instead of the latest.
-    max_results: the first so many by arrival; 0 or None for all."""
-    some = with_required(found if raw is None else raw, schema)
-    rows = resolve_entities(found.join(some, "entity_id", "left_semi"), schema, first_write)
+    max_results: the first so many by arrival; 0 or None for all. ordered: keep _first_seq, the order of arrival."""
+    if raw is None:
+        rows = resolve_entities(found, schema, first_write, schema.required_properties)
+    else:
+        rows = resolve_entities(found.join(with_required(raw, schema), "entity_id", "left_semi"), schema, first_write)
     if logic is not None:
         rows = rows.where(compile_predicate(logic, fields_of(schema)))
     if max_results:
         rows = rows.orderBy("_first_seq", "id").limit(max_results)
-    return rows.select("id", *(typed(n, p).alias(n) for n, p in schema.properties.items()))
+    return rows.select("id", *(["_first_seq"] if ordered else []), *(typed(n, p).alias(n) for n, p in schema.properties.items()))
 
 
 def query_with_total(found: DataFrame, schema: Schema, logic: Any = None, max_results: int | None = None, raw: DataFrame | None = None) -> tuple[DataFrame, int, bool]:
     """(results, total found, whether the limit left any out)."""
-    total = query(found, schema, logic, raw).count()
-    return query(found, schema, logic, raw, max_results), total, bool(max_results) and total > max_results
+    rows = query(found, schema, logic, raw, ordered=True)
+    if not max_results:
+        rows = checkpointed(rows.drop("_first_seq"))
+        return rows, rows.count(), False
+    # one run of the query serves the rows and their number
+    seen = checkpointed(rows)
+    total = seen.count()
+    return seen.orderBy("_first_seq", "id").limit(max_results).drop("_first_seq"), total, total > max_results
 
 
 def query_one(found: DataFrame, schema: Schema, entity_id: str) -> DataFrame:
@@ -115,7 +132,7 @@ def storage_query(log: DataFrame, schema: Schema, logic: Any = None, use_indexes
     at = lambda e: F.array_distinct(F.transform(F.filter("pointers", lambda p: is_reference(p) & (p["target"]["s"] == e)), lambda p: p["target_context"]))
     rows = each.withColumn("property", F.explode(at(F.col("entity_id"))))
     found = rows.select("entity_id", "property", "delta_id", "time_created", "ingest_seq", value_of(F.col("pointers"), F.col("property")).alias("value"))
-    out = resolve_entities(found.join(with_required(found, schema), "entity_id", "left_semi"), schema)
+    out = resolve_entities(found, schema, required=schema.required_properties)
     if logic is not None:
         out = out.where(compile_predicate(logic, fields_of(schema), allow_only_listed=False))
     if max_results:

@@ -129,6 +129,13 @@ def extreme_of_resolved(found: DataFrame, prop: str, largest: bool) -> DataFrame
     return numbers.groupBy("entity_id").agg((F.max if largest else F.min)("now.n").alias("value"))
 
 
+def last_numbers(found: DataFrame, properties: tuple[str, ...]) -> DataFrame:
+    """(entity_id, a column for each property): the number that arrived last. Formulas over them are Columns, so
+    values that depend on one another need no user-defined fold."""
+    columns = [F.max_by(F.when(F.col("property") == p, F.col("value.n")), F.when((F.col("property") == p) & F.col("value.n").isNotNull(), F.col("ingest_seq"))).alias(p) for p in properties]
+    return found.where(F.col("property").isin(list(properties))).groupBy("entity_id").agg(*columns)
+
+
 def resolved_text(frame: DataFrame) -> DataFrame:
     """Long form with targets as text, for comparison and display."""
     return frame.withColumn("value", as_text(F.col("value")))

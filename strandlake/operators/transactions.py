@@ -37,9 +37,26 @@ def members(log: DataFrame) -> DataFrame:
 
 def status(log: DataFrame) -> DataFrame:
     """(transaction_id, size, received, complete) of every transaction that is declared or has a member."""
-    both = members(log).join(declared(log), "transaction_id", "full")
-    received = F.coalesce("received", F.lit(0))
-    return both.select("transaction_id", "size", received.alias("received"), F.coalesce(F.col("size") == received, F.lit(False)).alias("complete"))
+    return _status(log).drop("last_seq")
+
+
+def completed(log: DataFrame) -> DataFrame:
+    """(transaction_id, completed_seq) of every complete transaction: the arrival that completed it."""
+    return _status(log).where("complete").select("transaction_id", F.col("last_seq").alias("completed_seq"))
+
+
+def _status(log: DataFrame) -> DataFrame:
+    """One pass over the log: members and declarations meet in one aggregation by transaction."""
+    own = transaction_of(F.col("pointers"))
+    size = value_of(F.col("pointers"), SIZE)
+    rows = log.select(own.alias("own"), _named(F.col("pointers"), SIZE).alias("named"), F.when(size["kind"] == "number", size["n"]).alias("size"), "delta_id", "ingest_seq")
+    rows = rows.withColumn("says", F.coalesce(F.col("own").isNull() & (F.col("size") != 0), F.lit(False))).where("own IS NOT NULL OR (says AND named IS NOT NULL)")
+    both = rows.groupBy(F.coalesce("own", "named").alias("transaction_id")).agg(
+        F.max_by(F.when(F.col("says"), F.col("size")), F.when(F.col("says"), F.col("ingest_seq"))).alias("size"),
+        F.countDistinct(F.when(F.col("own").isNotNull(), F.col("delta_id"))).alias("received"),
+        F.max("ingest_seq").alias("last_seq"),
+    )
+    return both.select("transaction_id", "size", "received", F.coalesce(F.col("size") == F.col("received"), F.lit(False)).alias("complete"), "last_seq")
 
 
 def gate(seen: DataFrame, log: DataFrame) -> DataFrame:

@@ -118,9 +118,11 @@ def lww_delta_id(spark, sf_dir):
     return _daily(spark, sf_dir, "delta-id")
 
 
-@query_of("lww_creator", latest_sql("date_trunc('day', ts) DESC, 'user-' || user_id DESC, event_id"))
+@query_of("lww_creator", latest_sql("date_trunc('day', ts) DESC, event_id % 7 DESC, event_id"))
 def lww_creator(spark, sf_dir):
-    return _daily(spark, sf_dir, "creator")
+    """Seven writers take turns, so that ties of time have different creators."""
+    log = tables.event_log(spark, sf_dir, tables.day_of("ts")).withColumn("creator", tables.key("user-", F.col("ingest_seq") % 7))
+    return numbers(resolvers.last_write(plain_claims(log), "creator"))
 
 
 @query_of("lww_host", latest_sql("date_trunc('day', ts) DESC, event_id % 4 DESC, event_id"))
@@ -128,9 +130,19 @@ def lww_host(spark, sf_dir):
     return _daily(spark, sf_dir, "host")
 
 
-@query_of("lww_lexicographic", latest_sql("date_trunc('day', ts) DESC, event_id DESC"))
+@query_of(
+    "lww_lexicographic",
+    f"""SELECT entity_id, property, value FROM (SELECT {EVENT}, CASE WHEN event_id % 3 <> 0 THEN 't' || event_id % 5 ELSE CAST(event_id AS VARCHAR) END AS value,
+        row_number() OVER (PARTITION BY user_id, event_type ORDER BY date_trunc('day', ts) DESC, event_id % 3 <> 0 DESC, CASE WHEN event_id % 3 <> 0 THEN event_id % 5 ELSE event_id END DESC, event_id) AS nth
+        FROM events) WHERE nth = 1""",
+)
 def lww_lexicographic(spark, sf_dir):
-    return _daily(spark, sf_dir, "lexicographic")
+    """Texts among numbers: of equal times the greatest text wins, and texts win over numbers."""
+    seq = F.col("event_id")
+    value = F.when(seq % 3 != 0, text(tables.key("t", seq % 5))).otherwise(number(seq))
+    pointers = F.array(reference("user", tables.key("user-", "user_id"), F.col("event_type")), pointer(F.col("event_type"), value))
+    log = tables.log(tables.read(spark, sf_dir, "events"), tables.numbered("evt-", "event_id"), tables.day_of("ts"), F.lit("h"), F.lit("c"), pointers, seq)
+    return resolvers.resolved_text(resolvers.last_write(plain_claims(log), "lexicographic")).select("entity_id", "property", "value")
 
 
 @query_of("lww_last_arrival", latest_sql("date_trunc('day', ts) DESC, event_id DESC"))
@@ -230,22 +242,53 @@ def plugin_dag_minmaxavg(spark, sf_dir):
     return largest.join(smallest, "entity_id").select("entity_id", "largest", "smallest", F.round((F.col("largest") + F.col("smallest")) / 2, 4).alias("middle"))
 
 
-@query_of(
-    "plugin_discounted_price",
-    "SELECT 'line-' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS entity_id, round(l_extendedprice * (1 - l_discount), 6) AS price FROM lineitem",
-)
-def plugin_discounted_price(spark, sf_dir):
+_PRICES = "SELECT 'line-' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS entity_id, round(l_extendedprice * (1 - l_discount), 6) AS price FROM lineitem"
+
+
+def _price_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     entity = tables.key("line-", tables.line_id())
     pointers = F.array(reference("a", entity, "price"), pointer("price", number(F.col("l_extendedprice"))), reference("b", entity, "discount"), pointer("discount", number(F.col("l_discount"))))
     log = tables.log(tables.read(spark, sf_dir, "lineitem"), tables.key("lin-", tables.line_id()), F.lit(1), F.lit("h"), F.lit("c"), pointers, line)
+    return log
+
+
+def plugin_discounted_price(spark, sf_dir):
+    """A value that depends on another's, as a formula over the last numbers."""
+    found = resolvers.last_numbers(plain_claims(_price_log(spark, sf_dir)), ("price", "discount"))
+    return found.select("entity_id", F.round(F.col("price") * (1 - F.col("discount")), 6).alias("price"))
+
+
+query_of("plugin_discounted_price", _PRICES)(plugin_discounted_price)
+
+
+@query_of("plugin_fold_price", f"SELECT * FROM ({_PRICES}) WHERE entity_id LIKE 'line-1%'")
+def plugin_fold_price(spark, sf_dir):
+    """The same by user-defined plugins."""
     last = lambda state, value, claim, resolved: value
     plugins = {
         "discount": folds.Plugin(lambda: 0.0, last, lambda state, resolved: state),
         "price": folds.Plugin(lambda: 0.0, last, lambda state, resolved: state * (1 - resolved["discount"]), depends_on=("discount",)),
     }
-    found = folds.fold(plain_claims(log), plugins).where("property = 'price'")
-    return found.select("entity_id", F.round("value.n", 6).alias("price"))
+    found = plain_claims(_price_log(spark, sf_dir)).where(F.col("entity_id").startswith("line-1"))
+    return folds.fold(found, plugins).where("property = 'price'").select("entity_id", F.round("value.n", 6).alias("price"))
+
+
+@query_of(
+    "plugin_running_dependency",
+    """WITH running AS (SELECT user_id, event_id, event_type, arg_max(value, event_id) FILTER (event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS now FROM events)
+       SELECT 'user-' || user_id AS entity_id, round(sum(coalesce(now, 0)) FILTER (event_type = 'view'), 4) AS total FROM running GROUP BY user_id HAVING count(*) FILTER (event_type = 'view') > 0""",
+)
+def plugin_running_dependency(spark, sf_dir):
+    """At each view the last click so far counts: dependencies are seen as they stand at every claim."""
+    plugins = {
+        "click": folds.Plugin(lambda: 0.0, lambda state, value, claim, resolved: value, lambda state, resolved: state),
+        "view": folds.Plugin(lambda: 0.0, lambda state, value, claim, resolved: state + resolved["click"], lambda state, resolved: state, depends_on=("click",)),
+    }
+    found = event_claims(spark, sf_dir)
+    some = found.where("property = 'view'").select("entity_id").distinct()
+    totals = folds.fold(found, plugins).where("property = 'view'").join(some, "entity_id", "left_semi")
+    return totals.select("entity_id", F.round("value.n", 4).alias("total"))
 
 
 @query_of(
@@ -652,8 +695,7 @@ def stream_lww(spark, sf_dir):
     """The log arrives as files out of order of time; the view is kept up to date file by file."""
     from strandlake.streaming.views import IncrementalView, read_log
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    folder = f"{shared.rstrip('/')}/{_fresh_name('stream')}"
+    folder = shared_folder(spark, "stream")
     log = tables.event_log(spark, sf_dir)
     for k in (2, 0, 3, 1):
         log.where(F.col("ingest_seq") % 4 == k).coalesce(1).write.mode("append").parquet(f"{folder}/incoming")
@@ -662,6 +704,28 @@ def stream_lww(spark, sf_dir):
     return numbers(view.current())
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder under the one that all executors share; a local one where the session names none (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{shared.rstrip('/')}/{_fresh_name(what)}"
+
+
+@query_of("stream_replay", f"SELECT entity_id, property, value FROM (SELECT {EVENT}, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS nth FROM events WHERE NOT {_GONE}) WHERE nth = 1")
+def stream_replay(spark, sf_dir):
+    """Batches with negations, of which each is delivered twice, and one a third time after a failed attempt."""
+    from strandlake.streaming.views import IncrementalView
+
+    log = tables.negation_log(spark, sf_dir)
+    view = IncrementalView(spark, shared_folder(spark, "stream"))
+    for k in range(3):
+        batch = log.where(F.pmod(F.xxhash64("delta_id"), F.lit(3)) == k)
+        if k == 1:
+            view.write_log(batch, k)
+        for _ in range(2):
+            view.ingest(batch, k)
+    return numbers(view.current())
+
+
 def _fresh_name(what: str) -> str:
     import uuid
 

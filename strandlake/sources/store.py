@@ -94,9 +94,12 @@ class Store:
 
 def statistics(log: DataFrame) -> DataFrame:
     """One row: total_deltas, total_entities (distinct referenced), oldest, newest."""
-    targets = log.select(F.explode(F.transform(F.filter("pointers", is_reference), lambda p: p["target"]["s"])).alias("e"))
-    entities = targets.agg(F.countDistinct("e").alias("total_entities"))
-    return log.agg(F.count("*").alias("total_deltas"), F.min("time_created").alias("oldest"), F.max("time_created").alias("newest")).crossJoin(entities)
+    null = F.lit(None)
+    targets = log.select(null.cast("long").alias("time"), F.explode(F.transform(F.filter("pointers", is_reference), lambda p: p["target"]["s"])).alias("entity"), F.lit(0).alias("one"))
+    rows = log.select(F.col("time_created").alias("time"), null.cast("string").alias("entity"), F.lit(1).alias("one")).unionByName(targets)
+    return rows.agg(
+        F.coalesce(F.sum("one"), F.lit(0)).alias("total_deltas"), F.min("time").alias("oldest"), F.max("time").alias("newest"), F.countDistinct("entity").alias("total_entities")
+    )
 
 
 class MemoryStore(Store):

@@ -72,7 +72,25 @@ def test_incremental_view_equals_batch(spark, tmp_path):
         want = values(last_write(compose.claims(whole.where(F.col("ingest_seq").isin(seen)))))
         assert values(view.current()) == want, i
     view.ingest(whole.where("ingest_seq = 0"), 99)  # a repeated delta changes nothing
-    assert values(view.current()) == values(last_write(compose.claims(whole)))
+    want = values(last_write(compose.claims(whole)))
+    assert values(view.current()) == want
+    view.compact(99)
+    assert values(view.current()) == want
+
+
+def test_batches_that_are_delivered_again(spark, tmp_path):
+    """After they were finished, and after a failure between the log and the view."""
+    log = Log(spark).set("e", "p", "new", 2000, "A").declare("t", 2).set("g", "p", 1, 5, "G1", tx="t").negate("A", "N").set("e", "p", "old", 1000, "B").set("g", "q", 2, 6, "G2", tx="t")
+    whole = log.frame()
+    view = views.IncrementalView(spark, f"file://{tmp_path}/view")
+    parts = [whole.where("ingest_seq < 3"), whole.where("ingest_seq = 3 OR ingest_seq = 4"), whole.where("ingest_seq = 5")]
+    for i, part in enumerate(parts):
+        view.write_log(part, i)  # the attempt that failed
+        view.ingest(part, i)
+        view.ingest(part, i)
+        want = values(last_write(compose.claims(whole.where(F.col("ingest_seq") <= (2, 4, 5)[i]))))
+        assert values(view.current()) == want, i
+    assert view.related(spark.createDataFrame([("A",)], "key string"), 9).count() == 2
 
 
 def test_stream_from_files(spark, tmp_path):
