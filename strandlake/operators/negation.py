@@ -98,6 +98,20 @@ def is_negated(log: DataFrame, delta_id: str) -> bool:
     return not active_negations(edges(log)).where(F.col("negated_id") == delta_id).isEmpty()
 
 
+def negation_status(log: DataFrame) -> DataFrame:
+    """(delta_id, negated) of every delta, negations included: whether a negation in force takes it back."""
+    gone = active_negations(edges(log)).select(F.col("negated_id").alias("delta_id")).distinct().withColumn("negated", F.lit(True))
+    return log.select("delta_id").join(gone, "delta_id", "left").select("delta_id", F.coalesce("negated", F.lit(False)).alias("negated"))
+
+
+def negation_map(log: DataFrame) -> DataFrame:
+    """(delta_id, negation_id, in_force): what each negation names, and whether it is in force."""
+    found = edges(log)
+    active = active_negations(found).select("negation_id").withColumn("in_force", F.lit(True))
+    marked = found.join(active, "negation_id", "left")
+    return marked.select(F.col("negated_id").alias("delta_id"), "negation_id", F.coalesce("in_force", F.lit(False)).alias("in_force"))
+
+
 def negations_for(log: DataFrame, delta_id: str) -> DataFrame:
     return log.join(edges(log).where(F.col("negated_id") == delta_id).select(F.col("negation_id").alias("delta_id")), "delta_id", "left_semi")
 

@@ -215,6 +215,20 @@ def error_histogram(found: DataFrame, schema: Schema, registry: Registry) -> Dat
     return faults(found, schema, registry).groupBy("level", "property", "message").agg(F.count("*").alias("n"))
 
 
+def applied(found: DataFrame, schema: Schema, registry: Registry, strict: bool = False, metadata: bool = True) -> DataFrame:
+    """Claims on the schema's properties, each with its entity's validation.
+
+    strict: raises if any entity has an error, naming one. metadata: when and how deep the schema was applied."""
+    if strict:
+        worst = faults(found, schema, registry).where("level = 'error'").orderBy("entity_id", "property").first()
+        if worst is not None:
+            raise ValueError(f"entity {worst.entity_id}, property {worst.property}: {worst.message}")
+    out = apply_schema(found, schema).join(validate(found, schema, registry), "entity_id").withColumn("schema_id", F.lit(schema.id))
+    if metadata:
+        out = out.withColumn("applied_at", F.current_timestamp()).withColumn("depth", F.lit(1)).withColumn("truncated", F.lit(False))
+    return out
+
+
 def apply_schema(found: DataFrame, schema: Schema) -> DataFrame:
     """Claims on the schema's properties only."""
     return found.where(F.col("property").isin(list(schema.properties)))

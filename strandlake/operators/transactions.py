@@ -40,8 +40,19 @@ def status(log: DataFrame) -> DataFrame:
     return _status(log).drop("last_seq")
 
 
+def one(log: DataFrame, transaction_id: str) -> DataFrame:
+    """The status of one transaction; no row if nothing is known of it."""
+    return status(log).where(F.col("transaction_id") == transaction_id)
+
+
+def member_ids(log: DataFrame) -> DataFrame:
+    """(transaction_id, delta_id): the deltas received for each transaction."""
+    rows = log.select(transaction_of(F.col("pointers")).alias("transaction_id"), "delta_id").where("transaction_id IS NOT NULL")
+    return rows.distinct()
+
+
 def completed(log: DataFrame) -> DataFrame:
-    """(transaction_id, completed_seq) of every complete transaction: the arrival that completed it."""
+    """(transaction_id, completed_seq) of every complete transaction: the last arrival of a member or a size."""
     return _status(log).where("complete").select("transaction_id", F.col("last_seq").alias("completed_seq"))
 
 

@@ -16,7 +16,7 @@ from strandlake.functions.targets import as_text, number, pointer, reference, te
 from strandlake.functions.validation import error_code
 from strandlake.operators import collections, compose, folds, negation, nested, query, resolvers, schemas, transactions
 from strandlake.sources import tables, wire
-from strandlake.sources.store import LogQuery, MemoryStore, statistics
+from strandlake.sources.store import LogQuery, MemoryStore, ParquetStore, migrate, statistics
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -350,6 +350,33 @@ def neg_of_entities(spark, sf_dir):
     return negation.negations_of_entities(tables.negation_log(spark, sf_dir))
 
 
+_CHAIN = "(VALUES ('neg-', 'evt-', 17), ('ren-', 'neg-', 51), ('rer-', 'ren-', 153)) v(prefix, target, step) ON event_id % step = 0"
+_ID = "lpad(CAST(event_id AS VARCHAR), 10, '0')"
+
+
+@query_of(
+    "neg_map",
+    f"""SELECT target || {_ID} AS delta_id, prefix || {_ID} AS negation_id,
+       CASE prefix WHEN 'rer-' THEN true WHEN 'ren-' THEN event_id % 153 <> 0 ELSE event_id % 51 <> 0 OR event_id % 153 = 0 END AS in_force FROM events JOIN {_CHAIN}""",
+)
+def neg_map(spark, sf_dir):
+    return negation.negation_map(tables.negation_log(spark, sf_dir))
+
+
+@query_of(
+    "neg_status",
+    f"""SELECT 'evt-' || {_ID} AS delta_id, {_GONE} AS negated FROM events UNION ALL
+       SELECT prefix || {_ID}, CASE prefix WHEN 'rer-' THEN false WHEN 'ren-' THEN event_id % 153 = 0 ELSE event_id % 51 = 0 AND event_id % 153 <> 0 END FROM events JOIN {_CHAIN}""",
+)
+def neg_status(spark, sf_dir):
+    return negation.negation_status(tables.negation_log(spark, sf_dir))
+
+
+@query_of("neg_of_delta", f"SELECT 'neg-' || {_ID} AS delta_id, epoch_us(ts) + 1 AS time_created FROM events WHERE event_id = 51")
+def neg_of_delta(spark, sf_dir):
+    return negation.negations_for(tables.negation_log(spark, sf_dir), "evt-0000000051").select("delta_id", "time_created")
+
+
 # Transactions
 
 _DONE = "((event_id // 5) % 11 <> 0 AND (event_id // 5) % 7 <> 0 AND g.n = 5)"
@@ -392,6 +419,34 @@ def tx_entities(spark, sf_dir):
     return transactions.entities_of(tables.transaction_log(spark, sf_dir))
 
 
+@query_of("tx_members", f"SELECT 'tx-' || (event_id // 5) AS transaction_id, 'evt-' || {_ID} AS delta_id FROM events")
+def tx_members(spark, sf_dir):
+    return transactions.member_ids(tables.transaction_log(spark, sf_dir))
+
+
+@query_of(
+    "tx_completed",
+    """SELECT 'tx-' || tx AS transaction_id, tx + 2000000000 AS completed_seq FROM (SELECT event_id // 5 AS tx, count(*) AS n FROM events GROUP BY 1)
+       WHERE tx % 11 <> 0 AND n = CASE WHEN tx % 7 = 0 THEN 6 ELSE 5 END""",
+)
+def tx_completed(spark, sf_dir):
+    return transactions.completed(tables.transaction_log(spark, sf_dir))
+
+
+@query_of("tx_claim_status", f"SELECT {EVENT}, value, ({_DONE} OR {_SIX}) AS complete FROM events {_GROUPS}")
+def tx_claim_status(spark, sf_dir):
+    """Every claim, hidden ones included, with the state of its transaction."""
+    log = tables.transaction_log(spark, sf_dir)
+    found = compose.with_status(compose.claims(log, negations=False, transactions=False), log).where(F.col("entity_id").startswith("user-"))
+    return found.select("entity_id", "property", F.col("value.n").alias("value"), "complete")
+
+
+@query_of("compose_at_time", f"SELECT {EVENT}, count(*) AS n_deltas FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY ALL")
+def compose_at_time(spark, sf_dir):
+    """The log as of a day, in microseconds since 1970."""
+    return compose.property_counts(plain_claims(compose.at_time(tables.event_log(spark, sf_dir), 1_705_276_800_000_000)))
+
+
 @query_of("neg_before_filter", f"SELECT {EVENT}, value FROM events WHERE NOT {_GONE}")
 def neg_before_filter(spark, sf_dir):
     """A filter that hides the negations themselves doesn't undo them."""
@@ -449,6 +504,17 @@ def store_stats(spark, sf_dir):
     return statistics(tables.event_log(spark, sf_dir))
 
 
+@query_of("store_parquet", f"SELECT {EVENT}, count(*) AS n_deltas FROM events GROUP BY ALL")
+def store_parquet(spark, sf_dir):
+    """Half of the log is stored twice, then everything is moved to another store in batches."""
+    log = tables.event_log(spark, sf_dir)
+    store, copy = (ParquetStore(spark, shared_folder(spark, f"stream-{k}")) for k in ("store", "copy"))
+    store.append(log)
+    store.append(log.where("ingest_seq % 2 = 0").withColumn("ingest_seq", F.col("ingest_seq") + 10_000_000))
+    migrate(store, copy, batches=2)
+    return compose.property_counts(plain_claims(copy.log()))
+
+
 @query_of("store_peers", "SELECT 'peer-' || (event_id % 3) AS received_from, count(*) AS n_deltas FROM events GROUP BY 1")
 def store_peers(spark, sf_dir):
     return wire.counts_by_peer(tables.event_log(spark, sf_dir).withColumn("received_from", F.concat(F.lit("peer-"), (F.col("ingest_seq") % 3).cast("string"))))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.targets import is_reference
 from strandlake.operators.compose import deduplicated
+from strandlake.sources.wire import content_hash
 from strandlake.types import DELTA
 
 
@@ -159,11 +160,13 @@ def open_store(spark: SparkSession, kind: str = "memory", path: str | None = Non
     raise ValueError(f"no such kind of store: {kind}")
 
 
-def migrate(source: Store, target: Store) -> int:
-    """Copies a log and compares the counts."""
+def migrate(source: Store, target: Store, batches: int = 1) -> int:
+    """Copies a log, in so many batches by hash of the ids, and raises unless every delta arrived with its content."""
     rows = source.log()
-    target.append(rows)
-    there, here = target.log().count(), rows.count()
-    if there < here:
-        raise RuntimeError(f"{there} of {here} deltas arrived")
-    return there
+    for k in range(batches):
+        target.append(rows if batches == 1 else rows.where(F.pmod(F.xxhash64("delta_id"), F.lit(batches)) == k))
+    said = lambda log: content_hash(log).select("delta_id", "content_hash")
+    lost = said(rows).join(said(target.log()), ["delta_id", "content_hash"], "left_anti").count()
+    if lost:
+        raise RuntimeError(f"{lost} deltas did not arrive as they were")
+    return target.log().count()

@@ -80,7 +80,26 @@ def counts_by_peer(log: DataFrame) -> DataFrame:
     return log.groupBy("received_from").agg(F.count("*").alias("n_deltas"))
 
 
+def publish(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Writes a stream of deltas as JSON lines to a folder that peers read; ends when all that is there is written."""
+    to_lines(stream).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def parse_address(address: Column) -> tuple[Column, Column]:
-    """Host and port of `host:port`."""
-    parts = F.split(address, ":")
-    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1)).try_cast("int")
+    """Host and port of `host:port`; a port is as many digits as there are, else null."""
+    parts = F.split(F.trim(address), ":")
+    return F.get(parts, F.lit(0)), F.regexp_extract(F.get(parts, F.lit(1)), r"^\s*([+-]?\d+)", 1).try_cast("int")
+
+
+def parse_addresses(text: Column) -> Column:
+    """Array of (host, port) of a list with commas; empty members are left out."""
+
+    def one(address: Column) -> Column:
+        host, port = parse_address(address)
+        return F.struct(host.alias("host"), port.alias("port"))
+
+    return F.transform(F.filter(F.split(text, ","), lambda a: a != ""), one)
+
+
+def address_text(host: Column, port: Column) -> Column:
+    return F.concat(host, F.lit(":"), port.cast("string"))

@@ -88,6 +88,11 @@ def test_schema_registry_and_validation(spark):
     stats = schemas.validation_statistics(found, strict, registry).first()
     assert (stats.entities, stats.valid, stats.invalid, stats.with_warnings) == (3, 1, 2, 1)
     assert {r.property for r in schemas.apply_schema(found, strict).collect()} == {"name", "age", "friend", "tags"}
+    whole = schemas.applied(found, strict, registry)
+    assert {(r.entity_id, r.valid, r.depth, r.truncated) for r in whole.collect()} == {("a", True, 1, False), ("b", False, 1, False), ("c", False, 1, False)}
+    assert "applied_at" not in schemas.applied(found.where("entity_id = 'a'"), strict, registry, strict=True, metadata=False).columns
+    with pytest.raises(ValueError, match="entity b, property age"):
+        schemas.applied(found, strict, registry, strict=True)
 
 
 def test_collections(spark):

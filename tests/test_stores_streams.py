@@ -35,6 +35,13 @@ def test_stores(spark, tmp_path, kind):
     assert store.log().count() == 3, "ids are stored once"
     target = s.open_store(spark, "parquet", f"{tmp_path}/copy")
     assert s.migrate(store, target) == 3
+    assert s.migrate(store, s.open_store(spark, "parquet", f"{tmp_path}/batches"), batches=3) == 3
+    class Careless(s.MemoryStore):
+        def append(self, deltas):
+            super().append(deltas.withColumn("creator", F.lit("mallory")))
+
+    with pytest.raises(RuntimeError, match="3 deltas"):
+        s.migrate(store, Careless(spark))  # the ids arrive, their content doesn't
     if kind == "parquet":
         assert store.compact(f"{tmp_path}/compact", 2).log().count() == 3
     store.clear()
@@ -50,6 +57,10 @@ def test_unions_and_peers(spark):
     assert {(r.received_from, r.n_deltas) for r in wire.counts_by_peer(a.unionByName(b.limit(1))).collect()} == {("p1", 3), ("p2", 1)}
     host, port = wire.parse_address(F.lit("localhost:4000"))
     assert tuple(spark.range(1).select(host, port).first()) == ("localhost", 4000)
+    several = wire.parse_addresses(F.lit("a:1, b:2x,,c"))
+    got = [tuple(r) for r in spark.range(1).select(several.alias("a")).first().a]
+    assert got == [("a", 1), ("b", 2), ("c", None)]
+    assert spark.range(1).select(wire.address_text(F.lit("a"), F.lit(1)).alias("t")).first().t == "a:1"
 
 
 def test_policies(spark):
@@ -103,6 +114,39 @@ def test_stream_from_files(spark, tmp_path):
     assert values(view.current()) == {("e", "p"): "new", ("f", "p"): 1}
 
 
+def test_notices_and_publishing(spark, tmp_path):
+    """Which entities a batch recomputed and which transactions it completed; deltas as lines for peers."""
+    log = Log(spark).declare("t", 2).set("g", "p", 1, 5, "G1", tx="t").set("g", "q", 2, 6, "G2", tx="t").set("e", "p", 1, 7, "E")
+    whole = log.frame()
+    for seqs in ((0, 1), (2,), (3,)):
+        whole.where(F.col("ingest_seq").isin(*seqs)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    told = {}
+    view = views.IncrementalView(spark, f"file://{tmp_path}/view")
+    view.run(
+        views.read_log(spark, f"{tmp_path}/in"), f"{tmp_path}/cp",
+        lambda k, entities, done: told.update({k: ({r.entity_id for r in entities.collect()}, {r.transaction_id for r in done.collect()})}),
+    )
+    assert told == {0: ({"t", "g"}, set()), 1: ({"t", "g"}, {"t"}), 2: ({"e"}, set())}
+    wire.publish(views.read_log(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp2")
+    back = wire.from_lines(spark.read.text(f"{tmp_path}/out"))
+    assert {r.delta_id for r in back.collect()} == {r.delta_id for r in whole.collect()}
+
+
+def test_deferred(spark, tmp_path):
+    whole = Log(spark).set("e", "p", 1, 1, "A").set("f", "p", 2, 1, "B").set("g", "p", 3, 1, "C").frame()
+    view = views.IncrementalView(spark, f"file://{tmp_path}/view")
+    later = views.Deferred(spark, f"file://{tmp_path}/later")
+    parts = views.split_by_policy(whole, F.when(F.col("delta_id") > "A", "defer"))
+    view.ingest(parts["accept"], 0)
+    later.keep(parts["defer"], 0)
+    assert set(values(view.current())) == {("e", "p")} and later.pending().count() == 2
+    later.drain(view, 1)
+    assert set(values(view.current())) == {("e", "p"), ("f", "p"), ("g", "p")} and later.pending().isEmpty()
+    later.keep(whole.where("delta_id = 'C'"), 1)
+    later.drain(view, 2)  # had before: changes nothing
+    assert set(values(view.current())) == {("e", "p"), ("f", "p"), ("g", "p")}
+
+
 def test_json_trees(spark):
     data = {"user": {"name": "x", "roles": ["a", "b"], "ok": True}, "n": None}
     t = json_ast.tree(data)
