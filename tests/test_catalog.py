@@ -1,5 +1,6 @@
 """Every registered query against its SQL, over the smallest tables."""
 
+import datetime
 import math
 
 import duckdb
@@ -47,3 +48,12 @@ def test_flagship_reads_only_what_it_needs(spark):
     plan = catalog.flagship(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan
     assert "Python" not in plan and "Join" not in plan
+
+
+def test_a_latest_zero_stays_zero(spark, tmp_path):
+    day = lambda n: datetime.datetime(2024, 1, n)
+    rows = [(0, day(1), 1, "view", 5.0), (1, day(2), 1, "view", 0.0), (2, day(1), 2, "view", 0.0), (3, day(2), 2, "view", 7.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("lww_plugin", "lww_latest"):
+        got = {(r.entity_id, r.value) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == {("user-1", 0.0), ("user-2", 7.0)}

@@ -57,6 +57,12 @@ def test_plugins(spark):
     assert values(resolvers.extreme_plugin(claims(Log(spark).set("e", "t", -5).set("e", "t", -10)), True)) == {("e", "t"): -5}
 
 
+def test_last_write_plugin_keeps_falsy_values_on_demand(spark):
+    log = Log(spark).set("e", "v", 3, 1).set("e", "v", 0, 2).set("e", "b", True, 1).set("e", "b", False, 2).set("e", "n", "x", 1).set("e", "n", None, 2)
+    assert values(resolvers.last_write_plugin(claims(log), falsy_as_empty=False)) == {("e", "v"): 0, ("e", "b"): False, ("e", "n"): None}
+    assert values(resolvers.last_write_plugin(claims(log))) == {("e", "v"): "", ("e", "b"): "", ("e", "n"): ""}
+
+
 def test_negation_retracts(spark):
     log = Log(spark).set("e", "v", 1, 1, "A").set("e", "v", 9, 2, "B").negate("B", "N")
     assert values(resolvers.last_write(claims(log))) == {("e", "v"): 1}
