@@ -24,6 +24,8 @@ from strandlake.types import TARGET
 
 
 COLUMNS = ("root", "parent_id", "parent_path", "property", "depth", "delta_id", "kind", "label", "node_id", "node_path", "schema_id", "value")
+#: Ids that a condition may list, instead of a join.
+FEW = 500
 
 
 def _references(schema: Schema) -> dict[str, Property]:
@@ -39,59 +41,95 @@ def _references(schema: Schema) -> dict[str, Property]:
 def steps(found: DataFrame, registry: Registry, schema_id: str, roots: DataFrame | list[str] | None = None, max_depth: int = 3) -> DataFrame:
     """All steps from the roots (a frame with entity_id, a list, or every visible entity)."""
     spark = found.sparkSession
-    visible = found.select("entity_id").distinct()
-    if roots is None:
-        start = visible
-    elif isinstance(roots, DataFrame):
-        start = roots.select("entity_id").distinct().join(visible, "entity_id", "left_semi")
-    else:
-        start = visible.where(F.col("entity_id").isin(list(roots)))
-    level = start.select(F.col("entity_id").alias("root"), F.col("entity_id").alias("node_id"), F.lit("").alias("node_path"), F.lit(schema_id).alias("schema_id"))
-    schemas, out = {schema_id}, None
+    schemas, level, out = {schema_id}, None, None
+    allowed = _allowed(registry, schemas, 0, max_depth) if max_depth > 0 else []
     for depth in range(max_depth):
-        made = _expand(level, found, visible, registry, schemas, depth, max_depth)
-        if made is None:
+        if not allowed:
             break
-        if depth + 1 < max_depth:
+        claimed = found.where(F.col("property").isin(sorted({name for _, name, _ in allowed}))).select(F.col("entity_id").alias("node_id"), "property", "delta_id", "pointers")
+        here = _of_roots(claimed, roots, allowed) if level is None else _of_level(claimed, level, allowed)
+        made = _expand(here, claimed, found.select("entity_id"), depth, max_depth)
+        schemas = {r.target_schema for s in schemas if (known := registry.get(s)) for r in _references(known).values() if r.target_schema}
+        allowed = _allowed(registry, schemas, depth + 1, max_depth) if depth + 1 < max_depth else []
+        if allowed:
             made = checkpointed(made)  # read twice: as steps, and as the next level's parents
         out = made if out is None else out.unionByName(made)
         level = made.where("kind = 'entity'").select("root", "node_id", "node_path", "schema_id").distinct()
-        schemas = {r.target_schema for s in schemas if (known := registry.get(s)) for r in _references(known).values() if r.target_schema}
     if out is None:
         return spark.createDataFrame([], "root string, parent_id string, parent_path string, property string, depth int, delta_id string, kind string, label string, node_id string, node_path string, schema_id string, value struct<kind:string,s:string,n:double,b:boolean>")
     return out.select(*COLUMNS)
 
 
-def _expand(level: DataFrame, found: DataFrame, visible: DataFrame, registry: Registry, schemas: set[str], depth: int, max_depth: int) -> DataFrame | None:
-    """Steps from one level to the next: for each (schema, property) whose own depth allows it."""
-    allowed = []
+def _allowed(registry: Registry, schemas: set[str], depth: int, max_depth: int) -> list[tuple[str, str, str]]:
+    """(schema, property, target schema) of the references that are followed from this depth."""
+    found = []
     for s in sorted(schemas):
         known = registry.get(s)
         for name, ref in (_references(known) if known else {}).items():
             if depth < (ref.max_depth or max_depth) and registry.get(ref.target_schema or "") is not None:
-                allowed.append((s, name, ref.target_schema))
-    if not allowed:
-        return None
-    spark = level.sparkSession
-    rules = spark.createDataFrame(allowed, "schema_id string, property string, target_schema string")
-    claimed = found.select("entity_id", "property", "delta_id", "pointers")
-    here = (
+                found.append((s, name, ref.target_schema))
+    return found
+
+
+def _few(ids: DataFrame) -> list[str] | None:
+    """The ids, if there are FEW at most."""
+    rows = ids.limit(FEW + 1).collect()
+    return [r[0] for r in rows] if len(rows) <= FEW else None
+
+
+def _of_roots(claimed: DataFrame, roots: DataFrame | list[str] | None, allowed: list[tuple[str, str, str]]) -> DataFrame:
+    """The roots' own claims. An entity that has a claim is visible.
+
+    Claims that roots of a frame don't have are told by the ids missing from it, if those are few: only ids are
+    exchanged then, not claims."""
+    if isinstance(roots, DataFrame):
+        wanted = roots.select(F.col("entity_id").alias("node_id")).distinct()
+        missing = _few(claimed.select("node_id").distinct().join(wanted, "node_id", "left_anti"))
+        if missing is None:
+            claimed = claimed.join(wanted, "node_id", "left_semi")
+        elif missing:
+            claimed = claimed.where(~F.col("node_id").isin(missing))
+    elif roots is not None:
+        claimed = claimed.where(F.col("node_id").isin(list(roots)))
+    target = F.create_map(*(F.lit(x) for _, name, to in allowed for x in (name, to)))  # of one schema, so by property alone
+    return claimed.select(F.col("node_id").alias("root"), F.col("node_id").alias("parent_id"), F.lit("").alias("parent_path"), "property", target[F.col("property")].alias("target_schema"), "delta_id", "pointers")
+
+
+def _of_level(claimed: DataFrame, level: DataFrame, allowed: list[tuple[str, str, str]]) -> DataFrame:
+    """Claims of the entities that the level before reached."""
+    rules = level.sparkSession.createDataFrame(allowed, "schema_id string, property string, target_schema string")
+    return (
         level.join(F.broadcast(rules), "schema_id")  # a few rows: the schemas' own properties
-        .join(claimed.withColumnRenamed("entity_id", "node_id"), ["node_id", "property"])
+        .join(claimed, ["node_id", "property"])
         .select("root", F.col("node_id").alias("parent_id"), F.col("node_path").alias("parent_path"), "property", "target_schema", "delta_id", "pointers")
     )
-    others = here.select(
-        *(c for c in here.columns if c != "pointers"),
-        F.posexplode(F.filter("pointers", lambda p: ~F.coalesce((p["target"]["kind"] == "string") & (p["target"]["s"] == F.col("parent_id")), F.lit(False)))).alias("pos", "p"),
-    )
-    flagged = others.withColumn("s", F.when(F.col("p.target.kind") == "string", F.col("p.target.s"))).join(visible.select(F.col("entity_id").alias("s"), F.lit(True).alias("is_entity")), "s", "left")
+
+
+def _slots(here: DataFrame, claimed: DataFrame, entities: DataFrame) -> DataFrame:
+    """A row for each pointer but those to the parent: pos, p, s (a text target), is_entity, and of the delta n_slots and n_entities.
+
+    Most texts in references name visible entities. Those that don't are looked for among the distinct ones;
+    where they are few, each delta is judged in place, and otherwise its slots are joined with the entities."""
+    is_text = lambda p: F.coalesce(p["target"]["kind"] == "string", F.lit(False))
+    other = lambda p, parent: ~F.coalesce((p["target"]["kind"] == "string") & (p["target"]["s"] == F.col(parent)), F.lit(False))
+    named = claimed.select(F.explode(F.filter("pointers", lambda p: is_text(p) & other(p, "node_id"))).alias("p")).select(F.col("p.target.s").alias("s")).distinct()
+    missing = _few(named.where("s IS NOT NULL").join(entities.select(F.col("entity_id").alias("s")).distinct(), "s", "left_anti"))
+    others = here.withColumn("pointers", F.filter("pointers", lambda p: other(p, "parent_id"))).withColumn("n_slots", F.size("pointers"))
+    text = F.when(F.col("p.target.kind") == "string", F.col("p.target.s"))
+    kept = [c for c in here.columns if c != "pointers"]
+    if missing is not None:
+        known = lambda s: s.isNotNull() & (~s.isin(missing) if missing else F.lit(True))
+        counted = others.withColumn("n_entities", F.size(F.filter("pointers", lambda p: is_text(p) & known(p["target"]["s"]))))
+        return counted.select(*kept, "n_slots", "n_entities", F.posexplode("pointers").alias("pos", "p")).withColumn("s", text).withColumn("is_entity", known(F.col("s")))
+    visible = entities.distinct().select(F.col("entity_id").alias("s"), F.lit(True).alias("is_entity"))
+    each = others.select(*kept, "n_slots", F.posexplode("pointers").alias("pos", "p")).withColumn("s", text).join(visible, "s", "left")
     per_delta = W.partitionBy("root", "parent_path", "property", "delta_id")
-    joined = flagged.select(
-        "*",
-        F.count_if("is_entity").over(per_delta).alias("n_entities"),
-        F.count("*").over(per_delta).alias("n_slots"),
-        F.min("pos").over(per_delta).alias("first_pos"),
-    )
+    return each.withColumn("n_entities", F.count_if("is_entity").over(per_delta))
+
+
+def _expand(here: DataFrame, claimed: DataFrame, entities: DataFrame, depth: int, max_depth: int) -> DataFrame:
+    """Steps from one level's claims to the next; entities: the visible ones, not distinct."""
+    joined = _slots(here, claimed, entities)
     plain = (F.col("n_entities") == 1) & (F.col("n_slots") == 1)
     entity = F.coalesce("is_entity", F.lit(False))
     # the deepest level is a stub: the entity is named, its properties aren't followed
@@ -109,7 +147,7 @@ def _expand(level: DataFrame, found: DataFrame, visible: DataFrame, registry: Re
         F.concat_ws("/", "parent_path", "property", composite).alias("node_path"), F.lit(None).cast(TARGET).alias("value"),
     )
     # a composite's own row goes with its first slot
-    rows = F.when(~plain & (F.col("pos") == F.col("first_pos")), F.array(slot, whole)).otherwise(F.array(slot))
+    rows = F.when(~plain & (F.col("pos") == 0), F.array(slot, whole)).otherwise(F.array(slot))
     return joined.select(
         "root", "parent_id", "parent_path", "property", F.lit(depth + 1).alias("depth"), "delta_id", F.explode(rows).alias("x"), F.col("target_schema").alias("schema_id")
     ).select("root", "parent_id", "parent_path", "property", "depth", "delta_id", "x.kind", "x.label", "x.node_id", "x.node_path", "schema_id", "x.value")

@@ -159,3 +159,29 @@ def test_composites(spark):
     assert by["composite-c1"]["properties"] == {"budget": 50000.0, "deadline": "2024-06-01"}
     assert {k: [n["id"] for n in v] for k, v in by["composite-c1"]["nested"].items()} == {"developer": ["alice"], "designer": ["bob"]}
     assert by["composite-c2"]["properties"] == {"developer": "ghost", "budget": 1.0} and by["composite-c2"]["nested"] == {}
+
+
+def test_composites_are_judged_in_place(spark, monkeypatch):
+    log = Log(spark).set("alice", "name", "Alice").set("bob", "name", "Bob").set("website", "title", "W").set("shop", "title", "S")
+    log.link([("projects", "website", "work"), ("developer", "alice", "does"), ("designer", "bob", "does"), ("note", "nobody"), ("budget", 5)], "c1")
+    log.link([("projects", "website", "work"), ("developer", "alice", "does")], "c2").link([("projects", "shop", "work"), ("developer", "ghost"), ("budget", 1)], "c3")
+    log.link([("projects", "shop", "work")], "c4")
+    registry = schemas.Registry(SUMMARY, schemas.Schema("project", "Project", {"work": schemas.array_of(schemas.reference("user-summary", 3))}))
+    found = compose.claims(log.frame(), negations=False, transactions=False)
+
+    def steps(names):
+        return nested.steps(found, registry, "project", spark.createDataFrame([(n,) for n in names], "entity_id string"), 2)
+
+    def rows(frame):
+        return sorted((r.root, r.delta_id, r.kind, r.label or "", r.node_id or "") for r in frame.collect())
+
+    # neither claims nor slots are exchanged, and no level is stored that leads nowhere
+    plan = steps(["website", "shop"])._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Window", "ExistingRDD[root")), plan
+    wanted = [("website", "c1", "composite", "", "composite-c1"), ("website", "c1", "entity", "designer", "bob"), ("website", "c1", "entity", "developer", "alice"), ("website", "c1", "scalar", "budget", ""), ("website", "c1", "scalar", "note", ""), ("website", "c2", "entity", "developer", "alice")]
+    shop = [("shop", "c3", "composite", "", "composite-c3"), ("shop", "c3", "scalar", "budget", ""), ("shop", "c3", "scalar", "developer", "")]
+    # with many texts that name nothing, or many claims of others, they are joined
+    for few in (nested.FEW, 1, 0):
+        monkeypatch.setattr(nested, "FEW", few)
+        assert rows(steps(["website", "shop"])) == sorted(shop + wanted)
+        assert rows(steps(["website", "nobody"])) == wanted
